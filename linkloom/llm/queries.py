@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm.language import op3_cross_parsing_language
 from linkloom.llm.repetition import op5_repetition_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_cross_parsing_language": op3_cross_parsing_language,
     "op5_repetition_coverage": op5_repetition_coverage,
 }
 
