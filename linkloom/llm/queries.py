@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.language import op3_cross_parsing_language
 from linkloom.llm.repetition import op5_repetition_coverage
+from linkloom.llm.tokens import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_cross_parsing_language": op3_cross_parsing_language,
     "op5_repetition_coverage": op5_repetition_coverage,
 }
