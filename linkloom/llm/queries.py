@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm import sql
+from linkloom.llm.decontaminate import op10_prefix_decontamination
+from linkloom.llm.jaccard import op7_count_tree_join
 from linkloom.llm.language import op3_cross_parsing_language
 from linkloom.llm.repetition import op5_repetition_coverage
 from linkloom.llm.tokens import op1_token_counts
@@ -14,6 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_cross_parsing_language": op3_cross_parsing_language,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op7_count_tree_join": op7_count_tree_join,
+    "op10_prefix_decontamination": op10_prefix_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_count_tree_join": sql.OP7,
+    "op10_prefix_decontamination": sql.OP10,
+}
