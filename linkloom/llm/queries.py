@@ -10,11 +10,13 @@ from linkloom.llm import sql
 from linkloom.llm.decontaminate import op10_prefix_decontamination
 from linkloom.llm.jaccard import op7_count_tree_join
 from linkloom.llm.language import op3_cross_parsing_language
+from linkloom.llm.licenses import op2_license_scan
 from linkloom.llm.repetition import op5_repetition_coverage
 from linkloom.llm.tokens import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_cross_parsing_language": op3_cross_parsing_language,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op7_count_tree_join": op7_count_tree_join,
