@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
 from linkloom.llm._graph import components
-from linkloom.llm._stage import staged
+from linkloom.llm._stage import small_batches, staged
 
 _MASK = (1 << 64) - 1
 
@@ -188,15 +188,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
 
 
-def _bit_map(keys: DataFrame, how: Join) -> np.ndarray:
+def _bit_map(keys: DataFrame, map_bits: int) -> np.ndarray:
     """A Bloom map of keys with one hash: 2 ** map_bits bits whatever the number of keys."""
-    words = keys.select(F.shiftrightunsigned("key", 64 - how.map_bits).alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (how.map_bits - 6), np.int64)
+    words = keys.select(F.shiftrightunsigned("key", 64 - map_bits).alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (map_bits - 6), np.int64)
     for row in words.collect():
         out[row.word] = row.bits
     return out.view(np.uint64)
 
 
+def _in_map(bits: np.ndarray, map_bits: int):
+    """The same map as a filter in the plan."""
+    words = F.split(F.lit(",".join(map(str, bits.view(np.int64).tolist()))), ",").cast("array<bigint>")  # folded to a literal
+    cell = F.shiftrightunsigned("key", 64 - map_bits)
+    bit = F.call_function("shiftright", F.get(words, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int"))
+    return bit.bitwiseAND(F.lit(1)) == 1
+
+
 def _points(how: Join, cells):
     """(key, n, point, shingles) of the sets whose key the bit map lets pass; once per set and task."""
 
@@ -331,6 +339,20 @@ def _survivors(how: Join, best_only: bool):
     return run
 
 
+def _bounded(how: Join):
+    """Pairs (a, b) whose points (x, y) may overlap enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(part.num_rows, -1).astype(np.int64) for c in (2, 3))
+                ok = np.minimum(x, y).sum(1) >= needed(x.sum(1), y.sum(1), how.percent)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], ["a", "b"])
+
+    return run
+
+
 def _verify(how: Join):
     """Pairs whose whole shingle sets link."""
 
@@ -360,34 +382,39 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     text = source.select("text")
     tokens = text.mapInArrow(_prefixes(how, rarity), "token long, key long, n int")
     shared = staged(tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"), "shared")
-    keys = shared.select("key").distinct()
-    cells = spark.sparkContext.broadcast(_bit_map(keys, how))
-    passing = text.mapInArrow(_points(how, cells), "key long, n int, point binary, shingles binary")
-    sets = staged(passing.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("point").alias("point"), F.any_value("shingles").alias("shingles")), "sets")
+    cells = spark.sparkContext.broadcast(_bit_map(shared.select("key"), how.map_bits))
+    sets = staged(text.mapInArrow(_points(how, cells), "key long, n int, point binary, shingles binary"), "sets")
+    points = staged(sets.select("key", "n", "point").dropDuplicates(["key"]), "points")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-        b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long")
+        """Pairs that link, as a table.  Only sets of keys in pairs are moved."""
+        pairs = staged(pairs, "pairs")
+        here = _in_map(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")), 20), 20)
+        own = sets.where(here).groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+        a = own.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+        b = own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+        with small_batches(spark):
+            return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long"), "links")
 
     # Round 1: the point that shares most tokens is each group's hub.
     degree = shared.groupBy("key").agg(F.count("*").alias("degree"))
     hub = staged(shared.join(degree, "key").groupBy("token").agg(F.max(F.struct("degree", "key", "n")).alias("hub")), "hubs")
     near = F.expr(f"100 * least(n, hub.n) >= {how.percent} * greatest(n, hub.n)")
     star = shared.join(hub, "token").where("key <> hub.key").where(near).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
-    links = staged(verified(star), "links")
+    star = star.join(points.select(F.col("key").alias("a"), F.col("point").alias("x")), "a").join(points.select(F.col("key").alias("b"), F.col("point").alias("y")), "b")
+    links = verified(star.select("a", "b", "x", "y").mapInArrow(_bounded(how), "a long, b long"))
     found = components(links)
     # Rounds 2 and 3: what the tree lets through between components.  Hubs have met their groups.
     for best_only in (True, False):
         label = found.withColumnRenamed("node", "key")
-        points = shared.join(hub, "token").where("key <> hub.key").select("token", "key").join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        split = points.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+        members = shared.join(hub, "token").where("key <> hub.key").select("token", "key").join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        split = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
         split = split.where("lo <> hi").where(F.lit(best_only) | (F.col("m") > how.leaf)).select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
-        routed = points.join(split, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        routed = members.join(split, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         routed = routed.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "component")
-        routed = routed.join(sets.select("key", "n", "point"), "key").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "key")
+        routed = routed.join(points, "key").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "key")
         routed = routed.select("token", "left", "right", "own", "key", "component", "n", "point")
-        more = staged(verified(routed.mapInArrow(_survivors(how, best_only), "a long, b long").distinct()), "links")
+        more = verified(routed.mapInArrow(_survivors(how, best_only), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
