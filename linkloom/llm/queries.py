@@ -12,6 +12,7 @@ from linkloom.llm.jaccard import op7_count_tree_join
 from linkloom.llm.language import op3_cross_parsing_language
 from linkloom.llm.licenses import op2_license_scan
 from linkloom.llm.pii import op4_weak_supervision_pii
+from linkloom.llm.quality import op6_pairwise_quality
 from linkloom.llm.repetition import op5_repetition_coverage
 from linkloom.llm.tokens import op1_token_counts
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cross_parsing_language": op3_cross_parsing_language,
     "op4_weak_supervision_pii": op4_weak_supervision_pii,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op6_pairwise_quality": op6_pairwise_quality,
     "op7_count_tree_join": op7_count_tree_join,
     "op10_prefix_decontamination": op10_prefix_decontamination,
 }
