@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from linkloom.llm._stage import staged
 
-#: Characters that `lower` leaves alone outside ASCII; other texts go through `translate`.
-_PLAIN = r"[^\x00-\x7F -¿×ß-ÿ‐-‧€]"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,7 +39,7 @@ class Settings:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lowered, nothing else changed."""
-    return F.when(text.rlike(_PLAIN), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words(text: Column) -> Column:
