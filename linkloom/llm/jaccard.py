@@ -12,7 +12,7 @@ components of all links between classes.
    group counts as coordinates.  An R-tree over them bounds the overlap of a query with a
    node by the summed minima of the query and the node's upper corner, and with a point by
    the summed minima of both.  Pairs that survive are verified on whole shingle sets.
-4. Three rounds keep the pairs few: first each point with the group's best-connected point,
+4. Three rounds keep the pairs, and so the shingle sets to make and move, few: first each point with the group's best-connected point,
    then each point's best partner in every component it has no link to yet, then all
    that is left.  Points that are already connected need no further proof.
    A group of more than `Join.block` points is joined block by block, in tasks of its own.
@@ -49,6 +49,7 @@ class Join:
     percent: int = 80
     groups: int = 256  # coordinates of a point
     sketch_bits: int = 21
+    met_bits: int = 25
     map_bits: int = 24
     leaf: int = 32  # points in a leaf of the tree
     block: int = 4096  # points joined in one task
@@ -100,12 +101,18 @@ def _scan(how: Join):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(blocks * size, np.uint32), pa.int64()
+        met = np.zeros(1 << how.met_bits, bool)
         names = ["doc_id", "n", "key", "block", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for texts in B.slices(batch.column(1)):
                 flat, first = shingle_sets(texts, how.words)
-                sketch += np.bincount((flat >> np.uint64(64 - how.sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                # Only what this task has met before counts: shingles of one text are most of all
+                # and would drown the others.
+                cell = (flat >> np.uint64(64 - how.met_bits)).astype(np.int64)
+                again = flat[met[cell]]
+                met[cell] = True
+                sketch += np.bincount((again >> np.uint64(64 - how.sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 m = texts.hi - texts.lo
                 yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], pa.array(np.diff(first)), pa.array(set_keys(flat, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
@@ -197,16 +204,9 @@ def _bit_map(keys: DataFrame, map_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _in_map(bits: np.ndarray, map_bits: int):
-    """The same map as a filter in the plan."""
-    words = F.split(F.lit(",".join(map(str, bits.view(np.int64).tolist()))), ",").cast("array<bigint>")  # folded to a literal
-    cell = F.shiftrightunsigned("key", 64 - map_bits)
-    bit = F.call_function("shiftright", F.get(words, F.shiftright(cell, 6).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int"))
-    return bit.bitwiseAND(F.lit(1)) == 1
-
-
-def _points(how: Join, cells):
-    """(key, n, point, shingles) of the sets whose key the bit map lets pass; once per set and task."""
+def _points(how: Join, cells, whole: bool):
+    """(key, n, point), or (key, shingles) if `whole`, of the sets whose key the bit map lets
+    pass; once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = cells.value, set()
@@ -216,16 +216,17 @@ def _points(how: Join, cells):
                 keys = set_keys(flat, first)
                 cell = keys.view(np.uint64) >> np.uint64(64 - how.map_bits)
                 passes = (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], []]
                 for i in np.flatnonzero((passes > 0) & (np.diff(first) > 0)).tolist():
                     key = int(keys[i])
                     if key not in seen:
                         seen.add(key)
                         own = flat[first[i] : first[i + 1]]
-                        point = np.bincount((own % np.uint64(how.groups)).astype(np.int64), minlength=how.groups).astype(np.uint32)
-                        for column, v in zip(out, (key, len(own), point.tobytes(), own.tobytes())):
+                        point = own if whole else np.bincount((own % np.uint64(how.groups)).astype(np.int64), minlength=how.groups).astype(np.uint32)
+                        for column, v in zip(out, (key, len(own), point.tobytes())):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["key", "n", "point", "shingles"])
+                keys_out, points = pa.array(out[0], pa.int64()), pa.array(out[2], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys_out, points] if whole else [keys_out, pa.array(out[1], pa.int32()), points], ["key", "shingles"] if whole else ["key", "n", "point"])
 
     return run
 
@@ -383,14 +384,16 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     tokens = text.mapInArrow(_prefixes(how, rarity), "token long, key long, n int")
     shared = staged(tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"), "shared")
     cells = spark.sparkContext.broadcast(_bit_map(shared.select("key"), how.map_bits))
-    sets = staged(text.mapInArrow(_points(how, cells), "key long, n int, point binary, shingles binary"), "sets")
-    points = staged(sets.select("key", "n", "point").dropDuplicates(["key"]), "points")
+    points = staged(text.mapInArrow(_points(how, cells, False), "key long, n int, point binary").dropDuplicates(["key"]), "points")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that link, as a table.  Only sets of keys in pairs are moved."""
+        """Pairs that link, as a table.  Only sets of keys in pairs are made and moved."""
         pairs = staged(pairs, "pairs")
-        here = _in_map(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")), 20), 20)
-        own = sets.where(here).groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+        if pairs.isEmpty():
+            return pairs
+        there = spark.sparkContext.broadcast(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")), how.map_bits))
+        own = text.mapInArrow(_points(how, there, True), "key long, shingles binary")
+        own = staged(own.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
         a = own.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         b = own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
         with small_batches(spark):
