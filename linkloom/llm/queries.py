@@ -11,6 +11,7 @@ from linkloom.llm.decontaminate import op10_prefix_decontamination
 from linkloom.llm.jaccard import op7_count_tree_join
 from linkloom.llm.language import op3_cross_parsing_language
 from linkloom.llm.licenses import op2_license_scan
+from linkloom.llm.mixing import op9_soft_membership_mixing
 from linkloom.llm.pii import op4_weak_supervision_pii
 from linkloom.llm.quality import op6_pairwise_quality
 from linkloom.llm.repetition import op5_repetition_coverage
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_coverage": op5_repetition_coverage,
     "op6_pairwise_quality": op6_pairwise_quality,
     "op7_count_tree_join": op7_count_tree_join,
+    "op9_soft_membership_mixing": op9_soft_membership_mixing,
     "op10_prefix_decontamination": op10_prefix_decontamination,
 }
 
