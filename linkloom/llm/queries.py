@@ -14,6 +14,7 @@ from linkloom.llm.licenses import op2_license_scan
 from linkloom.llm.mixing import op9_soft_membership_mixing
 from linkloom.llm.pii import op4_weak_supervision_pii
 from linkloom.llm.quality import op6_pairwise_quality
+from linkloom.llm.quotes import op8_quotation_linking
 from linkloom.llm.repetition import op5_repetition_coverage
 from linkloom.llm.tokens import op1_token_counts
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_coverage": op5_repetition_coverage,
     "op6_pairwise_quality": op6_pairwise_quality,
     "op7_count_tree_join": op7_count_tree_join,
+    "op8_quotation_linking": op8_quotation_linking,
     "op9_soft_membership_mixing": op9_soft_membership_mixing,
     "op10_prefix_decontamination": op10_prefix_decontamination,
 }
