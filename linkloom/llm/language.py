@@ -175,8 +175,9 @@ _parsers: dict = {}
 
 def predict_language(docs: DataFrame, samples: dict[str, str], settings: Settings = Settings(), text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds lang_pred and score to the columns `keep` of every row."""
-    source = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]), "lang_pred string", "score double"])
+    source = docs.select(*keep, *({text_col} - {*keep}))
+    at = source.columns.index(text_col)
+    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash((settings, tuple(samples.items())))
@@ -185,9 +186,9 @@ def predict_language(docs: DataFrame, samples: dict[str, str], settings: Setting
             _parsers[key] = Parser(samples, settings)
         parser = _parsers[key]
         for batch in batches:
-            for texts in B.slices(batch.column(0), settings.slice_bytes):
+            for texts in B.slices(batch.column(at), settings.slice_bytes):
                 names, score = parser.predict(texts)
-                rest = [batch.column(i + 1)[texts.lo : texts.hi] for i in range(len(keep))]
+                rest = [batch.column(i)[texts.lo : texts.hi] for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

@@ -152,11 +152,14 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: tuple[str,
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, how: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row with tokens, posterior (in the targets' sorted order) and rate."""
+    """The columns `keep` of every row with tokens, posterior (in the targets' sorted order) and
+    rate.  Texts are not written to intermediate tables: if kept, they are classified again."""
     domains = tuple(sorted(targets))
     model = train(docs, labels, domains, how)
-    members = staged(classify(docs.select(*keep, *({"text"} - {*keep})), model).select(*keep, "tokens", "posterior"), "members")
-    return members.withColumn("rate", rate(fit_rates(members, targets, domains, how)))
+    found = classify(docs.select(*keep, *({"text"} - {*keep})), model)
+    members = staged(found.select(*(c for c in keep if c != "text"), "tokens", "posterior"), "members")
+    steps = fit_rates(members, targets, domains, how)
+    return (found if "text" in keep else members).select(*keep, "tokens", "posterior").withColumn("rate", rate(steps))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
