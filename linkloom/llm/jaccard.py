@@ -6,8 +6,10 @@ components of all links between classes.
 
 1. One pass gives every row a key of its shingle set (equal sets, one class) and adds
    the shingles to a count sketch of fixed size, which orders shingles by rarity.
-2. Routing: of n shingles, the n - ceil(p n) + 1 rarest must hold one that is also among
-   the rarest of any partner.  Shingles that only one class has drop out at once.
+2. Routing: of n shingles, the n - ceil(p n) + m rarest hold m that are also among the
+   rarest of any partner, where m = 1 + n / `Join.slack` for the smaller set.  Shingles that
+   only one class has drop out at once; so do classes with fewer shared ones than their
+   smallest possible partner needs, and what only they shared, in turn.
 3. Each routed group is a set of points: shingles hashed into `Join.groups` groups, the
    group counts as coordinates.  An R-tree over them bounds the overlap of a query with a
    node by the summed minima of the query and the node's upper corner, and with a point by
@@ -51,6 +53,7 @@ class Join:
     sketch_bits: int = 21
     met_bits: int = 25
     map_bits: int = 24
+    slack: int = 25
     leaf: int = 32  # points in a leaf of the tree
     block: int = 4096  # points joined in one task
 
@@ -156,7 +159,7 @@ def _prefixes(how: Join, rarity):
                     if size[i] and key not in seen:
                         seen.add(key)
                         n = int(size[i])
-                        part = np.sort(ordered[first[i] : first[i + 1]])[: n - -(-how.percent * n // 100) + 1]
+                        part = np.sort(ordered[first[i] : first[i + 1]])[: n - -(-how.percent * n // 100) + 1 + n // how.slack]
                         tokens.append(part)
                         take.append(len(part))
                         own.append(i)
@@ -195,6 +198,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
 
 
+def _peeled(shared: DataFrame, how: Join) -> DataFrame:
+    """Without keys that share too few tokens, and then without tokens of a single key."""
+    least = F.expr(f"1 + ({how.percent} * n + 99) div 100 div {how.slack}")
+    enough = shared.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= least).select("key")
+    left = shared.join(enough, "key")
+    return left.join(left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token").select("token", "key", "n")
+
+
 def _bit_map(keys: DataFrame, map_bits: int) -> np.ndarray:
     """A Bloom map of keys with one hash: 2 ** map_bits bits whatever the number of keys."""
     words = keys.select(F.shiftrightunsigned("key", 64 - map_bits).alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
@@ -383,6 +394,7 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
     text = source.select("text")
     tokens = text.mapInArrow(_prefixes(how, rarity), "token long, key long, n int")
     shared = staged(tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"), "shared")
+    shared = staged(_peeled(_peeled(shared, how), how), "peeled")
     cells = spark.sparkContext.broadcast(_bit_map(shared.select("key"), how.map_bits))
     points = staged(text.mapInArrow(_points(how, cells, False), "key long, n int, point binary").dropDuplicates(["key"]), "points")
 
