@@ -58,34 +58,26 @@ class Classifier:
     base: tuple[float, ...]
     gains: dict[str, tuple[float, ...]]
 
-    def posteriors(self, hits: Column) -> Column:
-        """Array of P(domain | features), in the order of `domains`."""
-        if not self.gains:
-            return F.array(*(F.lit(math.exp(b)) for b in self.base))
-        names = sorted(self.gains)
-        at = F.transform(hits, lambda w: F.array_position(F.lit(names), w).cast("int"))
-        tables = [F.lit([self.gains[n][k] for n in names]) for k in range(len(self.base))]
-        logs = [F.aggregate(at, F.lit(b), _sum_of(table)) for b, table in zip(self.base, tables)]
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        return F.array(*(F.exp(x - top) for x in logs))
-
 
 def words(text: Column) -> Column:
     plain = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + _PUNCTUATION, string.ascii_lowercase + " " * len(_PUNCTUATION))
     return F.array_remove(F.split(plain, " +"), "")
 
 
-def _bin(name: str, text: Column, pattern: str) -> Column:
-    share = F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
+def _bin(name: str, share: str) -> Column:
     at = F.lit(0)
     for i, least in enumerate(_BINS, 1):
-        at = F.when(share > least, i).otherwise(at)
+        at = F.when(F.col(share) > least, i).otherwise(at)
     return F.concat(F.lit(f"<{name} "), at.cast("string"), F.lit(">"))
 
 
-def _bins(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.array(_bin("symbols", text, _SYMBOLS), _bin("capitals", text, "[A-Z]"))
+def _with_features(docs: DataFrame) -> DataFrame:
+    """Adds _words and _bins.  Each step is a projection of its own, so that no expression is
+    written out, and evaluated, where it is used twice."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.greatest(F.length(text), F.lit(1))
+    table = docs.withColumns({"_words": words(F.col("text")), "_symbols": F.regexp_count(text, F.lit(_SYMBOLS)) / size, "_capitals": F.regexp_count(text, F.lit("[A-Z]")) / size})
+    return table.withColumn("_bins", F.array(_bin("symbols", "_symbols"), _bin("capitals", "_capitals"))).drop("_symbols", "_capitals")
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Settings = Settings()) -> Classifier:
@@ -93,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Set
     known = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(how.train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = staged(rows.select("domain", F.array_distinct(F.concat(words(F.col("text")), _bins(F.col("text")))).alias("features")), "training")
+    rows = staged(_with_features(rows).select("domain", F.array_distinct(F.concat("_words", "_bins")).alias("features")), "training")
     size = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if not total:
@@ -114,12 +106,21 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Set
 
 def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """Adds tokens (words) and posterior, an array over the model's domains, to every row."""
-    known = F.lit(sorted(model.gains)) if model.gains else F.array().cast("array<string>")
-    table = docs.withColumn("_words", words(F.col("text")))
-    hits = F.concat(F.array_intersect("_words", known), F.array_intersect(_bins(F.col("text")), known))
-    table = table.withColumn("tokens", F.size("_words").cast("long")).withColumn("_odds", model.posteriors(hits)).drop("_words")
-    total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
-    return table.withColumn("posterior", F.transform("_odds", lambda x: x / total)).drop("_odds")
+    table = _with_features(docs).withColumn("tokens", F.size("_words").cast("long"))
+    if model.gains:
+        names = sorted(model.gains)
+        known = F.lit(names)
+        table = table.withColumn("_hits", F.concat(F.array_intersect("_words", known), F.array_intersect("_bins", known)))
+        table = table.withColumn("_at", F.transform("_hits", lambda w: F.array_position(known, w).cast("int")))
+        gains = [F.lit([model.gains[n][k] for n in names]) for k in range(len(model.domains))]
+        logs = [F.aggregate("_at", F.lit(b), _sum_of(g)) for b, g in zip(model.base, gains)]
+    else:
+        table = table.withColumns({"_hits": F.lit(0), "_at": F.lit(0)})
+        logs = [F.lit(b) for b in model.base]
+    table = table.withColumn("_logs", F.array(*logs)).withColumn("_top", F.array_max("_logs"))
+    table = table.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - F.col("_top"))))
+    table = table.withColumn("_total", F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x))
+    return table.withColumn("posterior", F.transform("_odds", lambda x: x / F.col("_total"))).drop("_words", "_bins", "_hits", "_at", "_logs", "_top", "_odds", "_total")
 
 
 def rate(steps: list[list[float]]) -> Column:
