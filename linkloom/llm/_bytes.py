@@ -58,6 +58,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
         yield Texts(lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def powers(base: int, n: int) -> np.ndarray:

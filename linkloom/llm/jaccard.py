@@ -384,7 +384,13 @@ def _verify(how: Join):
 
 
 def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_key (equal sets), component_id."""
+    """One row per input row: doc_id, n_shingles, class_key (equal sets), component_id.  All steps
+    in Python are written here and now, with small Arrow batches; the result reads tables only."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, how, id_col, text_col)
+
+
+def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -408,8 +414,7 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
         own = staged(own.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
         a = own.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         b = own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        with small_batches(spark):
-            return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long"), "links")
+        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long"), "links")
 
     # Round 1: the point that shares most tokens is each group's hub.
     degree = shared.groupBy("key").agg(F.count("*").alias("degree"))
