@@ -46,6 +46,11 @@ class Settings:
     tolerance: float = 1e-4  # largest residual, as a share of all tokens
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, wherever the planner may write the whole out."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum_of(table: Column):
     return lambda total, i: total + F.element_at(table, i)
 
@@ -64,20 +69,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " +"), "")
 
 
-def _bin(name: str, share: str) -> Column:
-    at = F.lit(0)
-    for i, least in enumerate(_BINS, 1):
-        at = F.when(F.col(share) > least, i).otherwise(at)
-    return F.concat(F.lit(f"<{name} "), at.cast("string"), F.lit(">"))
+def _bin(name: str, text: Column, pattern: str) -> Column:
+    def named(share: Column) -> Column:
+        at = F.lit(0)
+        for i, least in enumerate(_BINS, 1):
+            at = F.when(share > least, i).otherwise(at)
+        return F.concat(F.lit(f"<{name} "), at.cast("string"), F.lit(">"))
 
+    return _let(F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1)), named)
 
-def _with_features(docs: DataFrame) -> DataFrame:
-    """Adds _words and _bins.  Each step is a projection of its own, so that no expression is
-    written out, and evaluated, where it is used twice."""
+
+def _bins() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    table = docs.withColumns({"_words": words(F.col("text")), "_symbols": F.regexp_count(text, F.lit(_SYMBOLS)) / size, "_capitals": F.regexp_count(text, F.lit("[A-Z]")) / size})
-    return table.withColumn("_bins", F.array(_bin("symbols", "_symbols"), _bin("capitals", "_capitals"))).drop("_symbols", "_capitals")
+    return F.array(_bin("symbols", text, _SYMBOLS), _bin("capitals", text, "[A-Z]"))
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Settings = Settings()) -> Classifier:
@@ -85,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Set
     known = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(how.train_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = staged(_with_features(rows).select("domain", F.array_distinct(F.concat("_words", "_bins")).alias("features")), "training")
+    rows = staged(rows.select("domain", F.array_distinct(F.concat(words(F.col("text")), _bins())).alias("features")), "training")
     size = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if not total:
@@ -106,21 +110,21 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], how: Set
 
 def classify(docs: DataFrame, model: Classifier) -> DataFrame:
     """Adds tokens (words) and posterior, an array over the model's domains, to every row."""
-    table = _with_features(docs).withColumn("tokens", F.size("_words").cast("long"))
-    if model.gains:
-        names = sorted(model.gains)
-        known = F.lit(names)
-        table = table.withColumn("_hits", F.concat(F.array_intersect("_words", known), F.array_intersect("_bins", known)))
-        table = table.withColumn("_at", F.transform("_hits", lambda w: F.array_position(known, w).cast("int")))
-        gains = [F.lit([model.gains[n][k] for n in names]) for k in range(len(model.domains))]
-        logs = [F.aggregate("_at", F.lit(b), _sum_of(g)) for b, g in zip(model.base, gains)]
-    else:
-        table = table.withColumns({"_hits": F.lit(0), "_at": F.lit(0)})
-        logs = [F.lit(b) for b in model.base]
-    table = table.withColumn("_logs", F.array(*logs)).withColumn("_top", F.array_max("_logs"))
-    table = table.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - F.col("_top"))))
-    table = table.withColumn("_total", F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x))
-    return table.withColumn("posterior", F.transform("_odds", lambda x: x / F.col("_total"))).drop("_words", "_bins", "_hits", "_at", "_logs", "_top", "_odds", "_total")
+    table = docs.withColumn("_words", words(F.col("text"))).withColumn("tokens", F.size("_words").cast("long"))
+    names = sorted(model.gains)
+    known = F.lit(names) if names else F.array().cast("array<string>")
+    gains = [F.lit([model.gains[n][k] for n in names]) for k in range(len(model.domains))] if names else []
+
+    def logs(at: Column) -> Column:
+        return F.array(*(F.aggregate(at, F.lit(b), _sum_of(g)) for b, g in zip(model.base, gains))) if names else F.array(*map(F.lit, model.base))
+
+    def shares(odds: Column) -> Column:
+        return _let(F.aggregate(odds, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(odds, lambda x: x / total))
+
+    hits = F.concat(F.array_intersect("_words", known), F.array_intersect(_bins(), known))
+    at = F.transform(hits, lambda w: F.array_position(known, w).cast("int"))
+    odds = _let(_let(at, logs), lambda x: _let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return table.withColumn("posterior", _let(odds, shares)).drop("_words")
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -128,8 +132,12 @@ def rate(steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
     history = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    dot = lambda h: sum((F.get("posterior", F.lit(k)) * F.get(h, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
-    return F.aggregate(history, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+
+    def folded(p: Column) -> Column:
+        dot = lambda h: sum((F.get(p, F.lit(k)) * F.get(h, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))
+        return F.aggregate(history, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+
+    return _let(F.col("posterior"), folded)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...], how: Settings = Settings()) -> list[list[float]]:
