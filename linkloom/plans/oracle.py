@@ -189,7 +189,7 @@ _QUERIES = {
     "oracle_pricing": "WITH g AS (SELECT entity_id, count(*) FILTER (fate[1] = 'a') AS a, count(*) FILTER (fate[1] = 'b') AS b, count(*) FILTER (fate[1] = 'c') AS c FROM fates GROUP BY 1), z AS (SELECT d.entity_id, count(*) AS p0, count(t.record_id) AS h0 FROM decs d LEFT JOIN truth t USING (record_id, entity_id) WHERE probability > 0 GROUP BY 1), x AS (SELECT c.entity_id, predicted AS p, hits AS h, \"true\" AS t, coalesce(g.a, 0) AS a, coalesce(g.b, 0) AS b, coalesce(g.c, 0) AS c, coalesce(z.p0, 0) AS p0, coalesce(z.h0, 0) AS h0, CASE WHEN \"true\" = 0 THEN 0 ELSE 1 END AS k FROM cnts c LEFT JOIN g USING (entity_id) LEFT JOIN z USING (entity_id)), s AS (SELECT entity_id, t, unnest([{'s': 'base', 'p': p, 'h': h}, {'s': 'a_recovered', 'p': p + a, 'h': h + a}, {'s': 'b_corrected', 'p': p + b, 'h': h + b}, {'s': 'c_accepted', 'p': p + c, 'h': h + c}, {'s': 'd_removed', 'p': h, 'h': h}, {'s': 'e_singletons_fixed', 'p': p * k, 'h': h * k}, {'s': 'all', 'p': (h + a + b + c) * k, 'h': (h + a + b + c) * k}, {'s': 'threshold_0', 'p': p0, 'h': h0}], recursive := true) FROM x) SELECT s AS scenario, round(avg(CAST(" + _f("p", "t", "h") + " AS DOUBLE)), 6) AS macro_f FROM s GROUP BY 1",
     "record_precision_recall": "SELECT CAST(k AS DOUBLE) AS threshold, count(*) AS accepted, count(*) FILTER (t.entity_id = d.entity_id) AS correct, round(count(*) FILTER (t.entity_id = d.entity_id) / count(*), 6) AS precision, round(count(*) FILTER (t.entity_id = d.entity_id) / (SELECT count(*) FROM truth), 6) AS recall FROM decs d LEFT JOIN truth t USING (record_id), (SELECT unnest([0.2, 0.5, 0.8]) AS k) WHERE d.probability >= k GROUP BY k",
     "blocking_recall_sampled": "SELECT count(*) AS links, count(c.record_id) AS found FROM truth t JOIN numbered n ON n.id = t.record_id LEFT JOIN cands c USING (record_id, entity_id) WHERE n.hash < 2147483648",
-    "group_shape_features": "SELECT record_id, entity_id, CAST(row_number() OVER (PARTITION BY d.country, entity_id ORDER BY probability DESC, record_id) - 1 AS INT) AS prob_rank_in_group, round(probability - max(probability) OVER g, 6) AS prob_minus_group_max, CASE WHEN max(probability) OVER g > 0 THEN round(probability / max(probability) OVER g, 6) ELSE 0.0 END AS prob_over_group_max, count(*) OVER g AS group_size, CAST(count(*) FILTER (probability >= 0.5) OVER g AS BIGINT) AS group_size_above_50, CAST(count(*) FILTER (probability >= 0.7) OVER g AS BIGINT) AS group_size_above_70, round(sum(probability) OVER g, 6) AS group_prob_sum, max(probability) OVER g AS group_prob_max, round(avg(probability) OVER g, 6) AS group_prob_mean, CAST(max(CASE WHEN source <> 3 THEN 1 ELSE 0 END) OVER g AS INT) AS group_has_s2, CAST(max(CASE WHEN source = 3 THEN 1 ELSE 0 END) OVER g AS INT) AS group_has_s3, CAST(CASE WHEN count(*) OVER (PARTITION BY d.country, entity_id, source) = 1 THEN 1 ELSE 0 END AS INT) AS is_only_record_from_its_source, CAST(CASE WHEN source = 3 THEN 1 ELSE 0 END AS INT) AS source_is_s3, count(*) OVER g - 1 AS n_siblings FROM decs d JOIN recs r ON r.id = d.record_id WINDOW g AS (PARTITION BY d.country, entity_id)",
+    "group_shape_features": "SELECT record_id, entity_id, CAST(row_number() OVER (PARTITION BY d.country, entity_id ORDER BY probability DESC, record_id) - 1 AS INT) AS prob_rank_in_group, round(probability - max(probability) OVER g, 6) AS prob_minus_group_max, CASE WHEN max(probability) OVER g > 0 THEN round(probability / max(probability) OVER g, 6) ELSE 0.0 END AS prob_over_group_max, count(*) OVER g AS group_size, CAST(count(*) FILTER (probability >= 0.5) OVER g AS BIGINT) AS group_size_above_50, CAST(count(*) FILTER (probability >= 0.7) OVER g AS BIGINT) AS group_size_above_70, round(sum(probability) OVER g, 6) AS group_prob_sum, max(probability) OVER g AS group_prob_max, round(avg(probability) OVER g, 12) AS group_prob_mean, CAST(max(CASE WHEN source <> 3 THEN 1 ELSE 0 END) OVER g AS INT) AS group_has_s2, CAST(max(CASE WHEN source = 3 THEN 1 ELSE 0 END) OVER g AS INT) AS group_has_s3, CAST(CASE WHEN count(*) OVER (PARTITION BY d.country, entity_id, source) = 1 THEN 1 ELSE 0 END AS INT) AS is_only_record_from_its_source, CAST(CASE WHEN source = 3 THEN 1 ELSE 0 END AS INT) AS source_is_s3, count(*) OVER g - 1 AS n_siblings FROM decs d JOIN recs r ON r.id = d.record_id WINDOW g AS (PARTITION BY d.country, entity_id)",
     "sibling_agreement": f"WITH k AS (SELECT * FROM decs WHERE probability >= 0.3), s AS (SELECT a.record_id, max(ns) AS nx, avg(ns) AS na, max(sa) AS ax, avg(sa) AS aa, max((ns + sa) / 2) AS cx FROM (SELECT x.record_id, CAST({_jaccard('l.ng', 'r.ng')} AS DOUBLE) AS ns, CAST({_jaccard('l.ag', 'r.ag')} AS DOUBLE) AS sa FROM k x JOIN k y ON x.country = y.country AND x.entity_id = y.entity_id AND x.record_id <> y.record_id JOIN gram l ON l.id = x.record_id JOIN gram r ON r.id = y.record_id) a GROUP BY 1), f AS (SELECT k.record_id, CAST({_jaccard('l.ng', 'r.ng')} AS DOUBLE) AS ns, CAST({_jaccard('l.ag', 'r.ag')} AS DOUBLE) AS sa FROM k JOIN gram l ON l.id = k.record_id JOIN gram r ON r.id = k.entity_id) SELECT f.record_id, coalesce(round(nx, 6), 0.0) AS sib_name_max, coalesce(round(na, 6), 0.0) AS sib_name_mean, coalesce(round(ax, 6), 0.0) AS sib_addr_max, coalesce(round(aa, 6), 0.0) AS sib_addr_mean, coalesce(round(cx, 6), 0.0) AS sib_combined_max, round(ns, 6) AS self_name_sim, round(sa, 6) AS self_addr_sim, round((ns + sa) / 2, 6) AS self_combined_sim FROM f LEFT JOIN s USING (record_id)",
     "group_duplicate_agreement": f"WITH p AS (SELECT t.entity_id, max(CAST({_jaccard('a.ng', 'b.ng')} AS DOUBLE)) AS best, max(CASE WHEN a.nj = b.nj THEN 1 ELSE 0 END) AS equal FROM truth t JOIN gram a ON a.id = t.record_id AND a.source = 2 JOIN truth u USING (entity_id) JOIN gram b ON b.id = u.record_id AND b.source = 3 GROUP BY 1) SELECT count(*) AS groups, round(avg(best), 6) AS mean_best, round(avg(CASE WHEN best >= 0.9 THEN 1 ELSE 0 END), 6) AS near_share, CAST(sum(equal) AS BIGINT) AS exact FROM p",
     "entity_complete_lists": "SELECT e.entity_id, coalesce(string_agg(a.record_id, ',' ORDER BY a.record_id), '') AS matched_entity_ids FROM ents e LEFT JOIN acc a USING (entity_id) GROUP BY 1",
