@@ -51,7 +51,7 @@ class Join:
     percent: int = 80
     groups: int = 256  # coordinates of a point
     sketch_bits: int = 21
-    met_bits: int = 25
+    met_bits: int = 24
     map_bits: int = 24
     slack: int = 25
     leaf: int = 32  # points in a leaf of the tree
