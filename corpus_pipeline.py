@@ -7,7 +7,8 @@ pii              replaces personal data in texts by its kind
 mixing           drops documents of rate 0 and adds tokens, posterior and rate
 
 Null ids are kept by the stages that drop by id; rows that share an id stand or fall together,
-and exact repeats of a row are near copies, of which one stays.
+and exact repeats of a row are near copies, of which one stays.  Stages with Python steps set small Arrow batches in the
+session (and leave them so, as their results are evaluated later).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import decontaminate as _decontaminate
 from linkloom.llm import jaccard, language, mixing, pii
-from linkloom.llm._stage import staged
+from linkloom.llm._stage import keep_batches_small, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4  # of a language prediction; with four languages, chance is 0.25
@@ -31,12 +32,14 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     found = language.predict_language(docs.select(*COLUMNS), language.learn(docs), keep=COLUMNS)
     found = found.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     groups = staged(jaccard.jaccard_components(docs.select("doc_id", "text")), "groups")
     kept = _without(docs.select(*COLUMNS), groups.where("component_id <> doc_id"))
     again = staged(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
@@ -53,6 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep_batches_small(spark)
     clean = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -34,13 +34,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def keep_batches_small(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most `size` bytes from now on in this session.  Batches live outside
+    the heap, in the executor and in its Python workers; large ones do not pay."""
+    spark.conf.set(_BATCH, size)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Arrow batches of at most `size` bytes for what is written inside: rows are large there."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    """The same for what is written inside."""
+    before = spark.conf.get(_BATCH)
+    keep_batches_small(spark, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)
