@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import similarity as S
 from linkloom.functions import text as T
 
-#: Order of the model's inputs.
+#: Names and order of the model's inputs.
 FEATURES = (
     "name_jaccard name_token_set_ratio name_token_sort_ratio name_partial_ratio name_jaro_winkler name_trigram_jaccard name_idf_overlap name_rare_shared "
     "name_acronym_match name_len_ratio name_either_empty addr_jaccard addr_token_set_ratio addr_trigram_jaccard addr_idf_overlap addr_rare_shared addr_len_ratio "
