@@ -35,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
@@ -198,10 +198,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
 
 
+def _least_shared(how: Join) -> Column:
+    """Routed tokens that a set of n shares at least with any partner, the smallest included."""
+    return F.expr(f"1 + ({how.percent} * n + 99) div 100 div {how.slack}")
+
+
 def _peeled(shared: DataFrame, how: Join) -> DataFrame:
     """Without keys that share too few tokens, and then without tokens of a single key."""
-    least = F.expr(f"1 + ({how.percent} * n + 99) div 100 div {how.slack}")
-    enough = shared.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= least).select("key")
+    enough = shared.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= _least_shared(how)).select("key")
     left = shared.join(enough, "key")
     return left.join(left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token").select("token", "key", "n")
 
@@ -427,10 +431,13 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
     # Rounds 2 and 3: what the tree lets through between components.  Hubs have met their groups.
     for best_only in (True, False):
         label = found.withColumnRenamed("node", "key")
-        members = shared.join(hub, "token").where("key <> hub.key").select("token", "key").join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        members = shared.join(hub, "token").where("key <> hub.key").select("token", "key", shared.n).join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
         split = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
         split = split.where("lo <> hi").where(F.lit(best_only) | (F.col("m") > how.leaf)).select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
-        routed = members.join(split, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        # A pair that no hub has settled is together in all tokens that it must share.
+        routed = members.join(split, "token")
+        enough = routed.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= _least_shared(how)).select("key")
+        routed = routed.drop("n").join(enough, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         routed = routed.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "component")
         routed = routed.join(points, "key").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "key")
         routed = routed.select("token", "left", "right", "own", "key", "component", "n", "point")
