@@ -1,8 +1,9 @@
 """The driver's tables in the roles of linkage inputs.
 
-Records come from `documents`: three sources by id, the language as country, the first 120
-characters as name and the next 120 as address.  A record of the second or third source
-belongs to the smallest entity of the first with the same first 40 characters in lower case.
+Records come from `documents`: three sources by id, the language as country, the first line as
+name, all that follows as address, and the text of both.  A record of the second or third
+source belongs to the smallest entity of the first with the same whole text in lower case.
+Words, and queries over plain text, are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = (F.col("doc_id") % 3 + 1).cast("int")
-    part = lambda at: F.substring("text", at, 120)
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), source.alias("source"), F.col("lang").alias("country"), part(1).alias("name"), part(121).alias("address"))
+    name = F.substring_index("text", "\n", 1)
+    address = F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 2)")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), source.alias("source"), F.col("lang").alias("country"), name.alias("name"), address.alias("address"), "text")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """(record_id, entity_id) of the truth."""
-    key = F.lower(F.substring("name", 1, 40))
+    key = F.lower("text")
     first = rows.where("source = 1").groupBy("country", key.alias("key")).agg(F.min("id").alias("entity_id"))
     return rows.where("source > 1").select("country", key.alias("key"), F.col("id").alias("record_id")).join(first, ["country", "key"]).select("record_id", "entity_id")
 
@@ -37,8 +39,8 @@ def entities(rows: DataFrame) -> DataFrame:
 
 
 def word_postings(rows: DataFrame) -> DataFrame:
-    """(country, view, id, token): distinct lower-case words of the name."""
-    token = F.explode(F.array_distinct(T.tokens(F.lower("name"))))
+    """(country, view, id, token): distinct lower-case words of the text."""
+    token = F.explode(F.array_distinct(T.tokens(F.lower("text"))))
     return rows.select("country", F.lit("words").alias("view"), "id", token.alias("token"))
 
 
@@ -48,7 +50,7 @@ def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def word_candidates(rows: DataFrame, k: int = 5, cap: float = 0.5) -> DataFrame:
-    """Top k entities of each record by shared words of names."""
+    """Top k entities of each record by shared words."""
     queries, index = sides(rows)
     return retrieval.retrieve(word_postings(queries), word_postings(index), k, cap)
 

@@ -40,7 +40,7 @@ def flagship_cosine_topk(rows):
 
 @query
 def tokenize_names(rows):
-    tokens = T.name_tokens(F.lower(T.clean_name(F.col("name"))))
+    tokens = T.name_tokens(F.lower(T.clean_name(F.col("text"))))
     return rows.select("id", F.array_join(tokens, " ").alias("tokens"), F.array_join(T.name_core(tokens), " ").alias("core"))
 
 
@@ -51,7 +51,7 @@ def canon_numbers(spark, sf_dir):
 
 @query
 def abbrev_address(rows):
-    return rows.select("id", F.array_join(T.address_tokens(F.lower(T.strip_junk(F.col("address")))), " ").alias("tokens"))
+    return rows.select("id", F.array_join(T.address_tokens(F.lower(T.strip_junk(F.col("text")))), " ").alias("tokens"))
 
 
 @tabled
@@ -70,7 +70,7 @@ def ordinal_strip(spark, sf_dir):
 
 @query
 def non_latin_flag(rows):
-    return rows.select("id", T.non_latin(F.col("name")).alias("non_latin"))
+    return rows.select("id", T.non_latin(F.col("text")).alias("non_latin"))
 
 
 @tabled
@@ -82,12 +82,12 @@ def numeric_keys(spark, sf_dir):
 
 @query
 def fold_accents(rows):
-    return rows.select("id", T.fold(F.col("name")).alias("folded"))
+    return rows.select("id", T.fold(F.col("text")).alias("folded"))
 
 
 @query
 def romanised_names(rows):
-    return rows.select("id", F.lower(T.romanise(F.col("name"))).alias("latin"))
+    return rows.select("id", F.lower(T.romanise(F.col("text"))).alias("latin"))
 
 
 # Views and vocabulary -----------------------------------------------------------------------
@@ -95,7 +95,7 @@ def romanised_names(rows):
 
 @query
 def char_ngram_df(rows):
-    return rows.where("source = 1").select("country", F.explode(T.char_ngrams(F.lower("name"))).alias("gram")).groupBy("country", "gram").agg(F.count("*").alias("df")).where("df >= 3")
+    return rows.where("source = 1").select("country", F.explode(T.char_ngrams(F.lower("text"))).alias("gram")).groupBy("country", "gram").agg(F.count("*").alias("df")).where("df >= 3")
 
 
 @query
@@ -203,7 +203,7 @@ def candidate_score_percentiles(rows):
 
 @query
 def hashed_tfidf_topk(rows):
-    queries, index = A.sides(rows.select("source", "country", "id", F.col("name").alias("text")))
+    queries, index = A.sides(rows.select("source", "country", "id", "text"))
     return retrieval.hashed_retrieve(retrieval.hashed_postings(queries), retrieval.hashed_postings(index)).select("record_id", "entity_id", "score", "rank")
 
 
