@@ -210,7 +210,7 @@ def hashed_tfidf_topk(rows):
 @query
 def hard_negatives(rows):
     queries, index = A.sides(rows)
-    return retrieval.hard_negatives(A.word_postings(queries), A.word_postings(index), A.links(rows), 2, 100)
+    return retrieval.hard_negatives(A.word_postings(queries), A.word_postings(index), A.links(rows), 2)
 
 
 # Pair features ------------------------------------------------------------------------------

@@ -66,3 +66,11 @@ def test_flagship_matches_brute_force(spark, folder):
 def test_text_queries_reach_the_end(spark, folder, query, column):
     got = {r.id: r[column] for r in QUERIES[query](spark, folder).collect()}
     assert got[name(1)].endswith("zebra quartz") and "maple 4711" in got[name(2)]
+
+
+def test_hard_negatives_keep_words_of_many_entities(spark, tmp_path):
+    """120 entities hold the word that makes the pair hardest."""
+    texts = [(3 * i, f"common word{i} rare{i // 2}") for i in range(120)] + [(1, "common word7 other")]
+    spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.record_id, r.entity_id, r.shared) for r in QUERIES["hard_negatives"](spark, str(tmp_path)).orderBy("shared", ascending=False).collect()]
+    assert got == [("S2-1", "S1-21", 2), ("S2-1", "S1-0", 1)]
