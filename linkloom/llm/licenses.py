@@ -62,11 +62,11 @@ def _shingles(array: str, at: Column, window: int, size: int) -> list[Column]:
 
 
 def _bands(table: DataFrame, width: int, how: Settings) -> DataFrame:
-    """One row per band of rows with shingle hashes s0..: the least hash under the band's
-    permutation (exclusive or with a random number)."""
+    """One row per band of rows with shingle hashes s0..: the least hash of a shingle
+    and the band, so that every shingle of a window is as likely as any other to be it."""
     table = table.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(how.bands - 1))))
-    seed = F.xxhash64(F.col("band"))
-    return table.withColumn("value", F.least(*(F.col(f"s{j}").bitwiseXOR(seed) for j in range(width)))).where(F.col("value").isNotNull())
+    mixed = lambda c: F.when(c.isNotNull(), F.xxhash64(c, "band"))  # noqa: E731  (the hash of null is not null)
+    return table.withColumn("value", F.least(*(mixed(F.col(f"s{j}")) for j in range(width)))).where(F.col("value").isNotNull())
 
 
 def _texts(array: Column, size: int) -> Column:
