@@ -4,8 +4,9 @@ For every language a suffix automaton of labelled text is built.  A text is pars
 greedily into the longest phrases that occur in a language's sample; the language
 that needs the fewest phrases, normalised by phrase cost and length, wins.
 
-The sample is bounded (`Settings.train_chars` characters a language, from whole
-texts in hash order of the id); everything else covers whole texts.  Prediction is
+The sample is bounded (`Settings.train_chars` characters a language, from
+texts in hash order of the id, long ones last and cut; `Settings.alphabet` letters over all
+languages, others share one code); everything else covers whole texts.  Prediction is
 row by row inside each partition.  Parsing runs in numpy over many stretches of
 text at once; a stretch is `Settings.stretch` characters, so a text of any length
 is parsed completely in bounded steps.
@@ -46,14 +47,16 @@ class Settings:
 
 
 def training_sample(labelled: DataFrame, settings: Settings) -> DataFrame:
-    """At most `train_texts` whole texts a language, by hash of the id; text, lang.
+    """At most `train_texts` texts a language, by hash of the id; text, lang.  Texts longer than
+    `longest_train_text` come after all others, cut to `train_chars` from their first letter.
 
     Ranks are taken over ids alone and cut in every task before the shuffle, so a
     language that holds most rows sends a bounded number of rows.
     """
-    usable = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= settings.longest_train_text)
-    order = Window.partitionBy("lang").orderBy((F.length("text") < 200).cast("int"), F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    return labelled.where(usable).select("doc_id", "text", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.train_texts).select("lang", "_rank", "text")
+    usable = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    order = Window.partitionBy("lang").orderBy((F.length("text") > settings.longest_train_text).cast("int"), (F.length("text") < 200).cast("int"), F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
+    lettered = F.when(F.length("text") <= settings.longest_train_text, F.col("text")).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, settings.train_chars))
+    return labelled.where(usable).select("doc_id", "text", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.train_texts).select("lang", "_rank", lettered.alias("text"))
 
 
 def read_sample(sample: DataFrame, settings: Settings) -> dict[str, str]:

@@ -53,3 +53,13 @@ def test_edge_rows(spark):
     assert sorted(got, key=str) == sorted([(20, "und", True), (21, "und", True), (22, "und", True), (None, "en", True), (23, "fr", True), (23, "fr", True)], key=str)
     assert predict_language(docs.limit(0), learn(docs.limit(0))).count() == 0
     assert {r.lang_pred for r in predict_language(docs, {}).collect()} == {"und"}
+
+
+def test_language_of_long_texts_only_is_learned(spark):
+    from linkloom.llm import language
+
+    rows = [(i, "the house and the garden are green " * 20, "en") for i in range(40)] + [(100 + i, "1 2 3 " * 4000 + "das haus und der garten sind grün " * 200, "de") for i in range(40)]
+    samples = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(samples) == {"de", "en"} and samples["de"].startswith("das haus")
+    docs = spark.createDataFrame([(1, "der garten und das haus"), (2, "the garden and the house")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict_language(docs, samples).collect()} == {1: "de", 2: "en"}
