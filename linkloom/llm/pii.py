@@ -38,7 +38,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL_PHONE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+_LOCAL_PHONE = re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _GROUPED = re.compile(r"[0-9][0-9 ().-]{7,28}[0-9]")
 _ASSIGN = re.compile(r"""[=:][ \t]{0,2}["']?""")
 _VALUE = re.compile(r"[A-Za-z0-9_/+=.-]{12,}")
@@ -156,12 +156,14 @@ def spans(text: str) -> list[Span]:
         if 12 <= len(d) <= 19 and (c := _CARD.match(text, m.start())) and c.end() == m.end():
             if _CUES["card"].search(text[max(0, m.start() - 32) : m.start()]):  # its checksum has failed
                 more.append((m.start(), "card", m.end()))
-        else:
-            a = m.start() - (text[m.start() - 1 : m.start()] == "(")
-            if (p := _LOCAL_PHONE.match(text, a)) and p.end() == m.end():
-                more.append((a, "phone", p.end()))
+    cards, i = list(more), 0
+    for m in _LOCAL_PHONE.finditer(text):
+        while i < len(cards) and cards[i][2] <= m.start():
+            i += 1
+        if i == len(cards) or m.end() <= cards[i][0]:
+            more.append((m.start(), "phone", m.end()))
     for m in _ASSIGN.finditer(text):
-        if (v := _VALUE.match(text, m.end())) and len(v[0]) <= 512:
+        if v := _VALUE.match(text, m.end()):
             more.append((v.start(), "secret", v.end()))
     for m in _NAME.finditer(text):
         if m[0].lower() in _GIVEN or _TITLE.search(text[max(0, m.start() - 32) : m.start()]):

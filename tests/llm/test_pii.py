@@ -64,3 +64,11 @@ def test_em_prefers_agreeing_labelers():
     assert model.probability["card|+++++|1|3"] > 0.9 > 0.5 > model.probability["card|---0-|1|3"]
     assert all(0.5 < r for r in model.reliability["card"][:3])
     assert [s.kind for s in spans("Contact Maria Lopez today, card no 4111 1111 1111 1112")] == ["card", "name"]
+
+
+def test_phones_inside_longer_runs_and_long_secrets():
+    found = lambda text: [(s.kind, text[s.start : s.end]) for s in spans(text)]
+    assert found("555-123-4567 2 times") == [("phone", "555-123-4567")]
+    assert found("555-123-4567 555-987-6543 555-222-3333") == [("phone", x) for x in ("555-123-4567", "555-987-6543", "555-222-3333")]
+    assert found("(555) 123-4567 10") == [("phone", "(555) 123-4567")]
+    assert found("token=" + "a1B2" * 200) == [("secret", "a1B2" * 200)]
