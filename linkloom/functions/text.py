@@ -71,6 +71,10 @@ def _romanised(text: str) -> str:
     return "".join(out)
 
 
+def _beyond_ascii(text: str) -> str | None:
+    return None if unicodedata.normalize("NFKC", text).isascii() else "y"
+
+
 @cache
 def _arrow(one):
     """An Arrow-batched function of one string; made on first use, as workers import this module."""
@@ -81,19 +85,24 @@ def _arrow(one):
     return F.pandas_udf(many, "string")
 
 
-def non_latin(text: Column) -> Column:
-    """Whether any character lies outside ASCII."""
+def _not_ascii(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
+def non_latin(text: Column) -> Column:
+    """Whether any character lies outside ASCII after compatibility folding, so that full-width
+    ASCII does not count.  Null for null."""
+    return F.when(_not_ascii(text), _arrow(_beyond_ascii)(F.when(_not_ascii(text), text)).isNotNull()).otherwise(F.when(text.isNotNull(), F.lit(False)))
+
+
 def fold(text: Column) -> Column:
     """Compatibility form, without combining marks, in lower case."""
-    return F.coalesce(_arrow(_folded)(F.when(non_latin(text), text)), F.lower(text))
+    return F.coalesce(_arrow(_folded)(F.when(_not_ascii(text), text)), F.lower(text))
 
 
 def romanise(text: Column) -> Column:
     """ASCII spelling of text in any script; ASCII text unchanged."""
-    return F.coalesce(_arrow(_romanised)(F.when(non_latin(text), text)), text)
+    return F.coalesce(_arrow(_romanised)(F.when(_not_ascii(text), text)), text)
 
 
 def strip_junk(text: Column) -> Column:
@@ -151,14 +160,19 @@ def numeric_keys(token_array: Column) -> Column:
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """Distinct character n-grams of the text without white space."""
-    squeezed = F.regexp_replace(text, r"\s+", "")
+    """Distinct character n-grams of the text without white space, in time linear in its length:
+    the text is split into characters once, and every gram is put together from n of them."""
+    none = F.array().cast("array<string>")
+
+    def grams(chars: Column, n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*(F.get(chars, i + j) for j in range(n))))
+        return F.when(F.size(chars) >= n, cut).otherwise(none)
 
-    def grams(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(squeezed) - n + 1, F.lit(1))), lambda i: F.substring(squeezed, i, F.lit(n)))
-        return F.when(F.length(squeezed) >= n, cut).otherwise(F.array().cast("array<string>"))
+    def all_sizes(chars: Column) -> Column:
+        return F.array_distinct(F.concat(*(grams(chars, n) for n in sizes)))
 
-    return F.array_distinct(F.concat(*(grams(n) for n in sizes)))
+    # A lambda binds the characters, so that they are split once for all sizes.
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(text, r"\s+", ""), "")), all_sizes), F.lit(0))
 
 
 def locality(address: Column, parts: int = 3) -> Column:

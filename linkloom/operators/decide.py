@@ -54,8 +54,8 @@ def expected_prefix(found: DataFrame, floor: float = 0.02, inflation: float = 1.
     kept = kept.withColumns({"place": F.row_number().over(order), "sum": F.sum("probability").over(so_far), "all": F.sum("probability").over(own)})
     sure = F.max((F.col("probability") >= 1).cast("int")).over(own) == 1
     kept = kept.withColumn("none", F.when(sure, F.lit(0.0)).otherwise(F.exp(F.sum(F.log(F.when(F.col("probability") < 1, 1 - F.col("probability")).otherwise(F.lit(1.0)))).over(own))))
-    precision, recall = F.col("sum") / F.col("place"), F.col("sum") / (F.col("all") * inflation)
-    kept = kept.withColumn("score", F.round((1 + beta**2) * precision * recall / (beta**2 * precision + recall), PLACES))
+    precision, recall = F.col("sum") / F.col("place"), F.col("sum") / F.greatest(F.col("all") * inflation, F.lit(1e-9))
+    kept = kept.withColumn("score", F.round(F.coalesce(F.try_divide((1 + beta**2) * precision * recall, beta**2 * precision + recall), F.lit(0.0)), PLACES))
     best = kept.withColumn("top", F.max("score").over(own)).withColumn("cut", F.min(F.when(F.col("score") == F.col("top"), F.col("place"))).over(own))
     return best.where((F.col("place") <= F.col("cut")) & (F.round("none", PLACES) < F.col("top"))).select(*found.columns)
 

@@ -61,12 +61,17 @@ def area_under_precision_recall(scored: DataFrame, label: str = "label") -> floa
 
 
 def average_precision(scored: DataFrame, label: str = "label") -> DataFrame:
-    """(average_precision): sum over distinct scores of precision x gain in recall.  Scores are
-    first reduced to their distinct values with counts."""
+    """(average_precision): sum over distinct scores of precision x gain in recall; 0 without a
+    positive label.  Scores are first reduced to their distinct values with counts, and running
+    sums are taken inside score ranges of 1/1024, on top of those of the ranges (1025 rows)."""
     per = scored.groupBy("probability").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("hits"))
-    order = Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumns({"seen": F.sum("n").over(order), "got": F.sum("hits").over(order)})
-    return run.agg(F.round(F.sum(F.col("got") / F.col("seen") * F.col("hits")) / F.sum("hits"), 6).alias("average_precision"))
+    per = per.withColumn("part", F.floor(F.col("probability") * 1024))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("hits").alias("ph"))
+    parts = parts.select("part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("pn", "ph")))
+    order = Window.partitionBy("part").orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
+    run = per.join(F.broadcast(parts), "part").withColumns({"seen": F.sum("n").over(order) + F.col("pn"), "got": F.sum("hits").over(order) + F.col("ph")})
+    return run.agg(F.coalesce(F.round(F.try_divide(F.sum(F.round(F.col("got") / F.col("seen") * F.col("hits"), 12)), F.sum("hits")), 6), F.lit(0.0)).alias("average_precision"))
 
 
 def calibrate(train_rows: DataFrame, rows: DataFrame, label: str = "label") -> DataFrame:

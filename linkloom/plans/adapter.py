@@ -15,6 +15,9 @@ from linkloom.functions import text as T
 from linkloom.functions import views as V
 from linkloom.operators import decide, retrieval
 
+#: Tokens of more than this share of a country's entities are not searched by.
+CAP = 0.02
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +52,7 @@ def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("source > 1"), rows.where("source = 1")
 
 
-def word_candidates(rows: DataFrame, k: int = 5, cap: float = 0.5) -> DataFrame:
+def word_candidates(rows: DataFrame, k: int = 5, cap: float = CAP) -> DataFrame:
     """Top k entities of each record by shared words."""
     queries, index = sides(rows)
     return retrieval.retrieve(word_postings(queries), word_postings(index), k, cap)
@@ -60,7 +63,7 @@ def word_decisions(rows: DataFrame) -> DataFrame:
     return decide.decisions(word_candidates(rows).withColumnRenamed("score", "probability"))
 
 
-def view_candidates(parsed: DataFrame, k: int = 5, cap: float = 0.2) -> DataFrame:
+def view_candidates(parsed: DataFrame, k: int = 5, cap: float = CAP) -> DataFrame:
     """Union of the default views with context."""
     queries, index = sides(parsed)
     return retrieval.with_context(retrieval.union_of_views(retrieval.retrieve(V.postings(queries), V.postings(index), k, cap)))

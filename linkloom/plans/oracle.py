@@ -8,16 +8,23 @@ from __future__ import annotations
 
 import re
 
-from linkloom.functions.text import DIRECTIONS, JUNK_AFFIX, LEGAL_NOISE, STREET_WORDS
-
-_Q = lambda s: s.replace("'", "''")
+# Fixed values of the token space, written out for SQL and not taken from the code under test.
+_JUNK = r"""^[\s\-–—<>#*~^|/\\.,;:!+=_''"()\[\]{}]+|[\s\-–—<>#*~^|/\\;:!+=_''"]+$"""
+_NOISE = "private limited ltd pvt inc incorporated corporation corp company co llc llp lp plc opc sarl sasu eurl sas sa sci snc the and of"
+_SPELLED = (
+    "n north s south e east w west ne northeast nw northwest se southeast sw southwest "
+    "rd road st street str street ave avenue av avenue dr drive blvd boulevard bd boulevard ln lane ct court cir circle pl place sq square ter terrace "
+    "hwy highway pkwy parkway trl trail apt apartment ste suite bldg building flr floor fl floor rm room dept department pob po "
+    "no number nos number hno number dno number khno number plotno number doorno number sn survey opp opposite nr near bldng building mkt market"
+)
+_CAP = 0.02
 _TOKENS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+')"
 _DBA = "(?i)\\b(?:d\\s*/?\\s*b\\s*/?\\s*a|doing\\s+business\\s+as|trading\\s+as|t\\s*/\\s*a|formerly|aka|a\\s*/\\s*k\\s*/\\s*a)\\b"
 _LATIN = "replace(replace(replace(replace(strip_accents({}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')"
 
 
 def _junk(x: str) -> str:
-    return f"regexp_replace({x}, '{_Q(JUNK_AFFIX)}', '', 'g')"
+    return f"regexp_replace({x}, '{_JUNK}', '', 'g')"
 
 
 def _trade(x: str) -> str:
@@ -40,7 +47,7 @@ def _name_tokens(folded: str) -> str:
 
 
 def _core(tokens: str) -> str:
-    return f"list_filter({tokens}, lambda t: NOT list_contains([{', '.join(repr(w) for w in LEGAL_NOISE)}], t))"
+    return f"list_filter({tokens}, lambda t: NOT list_contains(string_split('{_NOISE}', ' '), t))"
 
 
 def _canon(x: str) -> str:
@@ -48,15 +55,14 @@ def _canon(x: str) -> str:
 
 
 def _addr_tokens(folded: str) -> str:
-    words = DIRECTIONS | STREET_WORDS
-    spelled = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in words.items()) + "}"
+    words = _SPELLED.split()
+    spelled = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in zip(words[::2], words[1::2])) + "}"
     return f"list_transform(list_transform({_TOKENS.format(_ordinals(folded))}, lambda t: {_canon('t')}), lambda t: coalesce({spelled}[t], t))"
 
 
 def _grams(x: str, sizes=(3, 4)) -> str:
-    s = f"regexp_replace({x}, '\\s+', '', 'g')"
-    parts = [f"CASE WHEN length({s}) >= {n} THEN [substr({s}, i, {n}) FOR i IN range(1, length({s}) - {n} + 2)] ELSE [] END" for n in sizes]
-    return f"list_distinct(list_concat({', '.join(parts)}))"
+    each = [f"list_transform(range(1, len(c) - {n - 2}), lambda i: {' || '.join(f'c[i + {j}]' for j in range(n))})" for n in sizes]
+    return f"list_transform([string_split(regexp_replace({x}, '\\s+', '', 'g'), '')], lambda c: list_distinct(list_concat({', '.join(each)})))[1]"
 
 
 def _jaccard(a: str, b: str) -> str:
@@ -86,14 +92,14 @@ def _top(scores: str, k: int) -> str:
 
 
 _STEPS = {
-    "recs": "SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, CAST(doc_id % 3 + 1 AS INT) AS source, lang AS country, substr(text, 1, 120) AS name, substr(text, 121, 120) AS address FROM documents",
+    "recs": "SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, CAST(doc_id % 3 + 1 AS INT) AS source, lang AS country, split_part(text, chr(10), 1) AS name, substr(text, length(split_part(text, chr(10), 1)) + 2) AS address, text FROM documents",
     "ents": "SELECT id AS entity_id, country FROM recs WHERE source = 1",
-    "firsts": "SELECT country, lower(substr(name, 1, 40)) AS key, min(id) AS entity_id FROM recs WHERE source = 1 GROUP BY ALL",
-    "truth": "SELECT r.id AS record_id, f.entity_id FROM recs r JOIN firsts f ON r.country = f.country AND lower(substr(r.name, 1, 40)) = f.key WHERE r.source > 1",
-    "posts": f"SELECT country, 'words' AS view, id, source, unnest(list_distinct({_TOKENS.format('lower(name)')})) AS token FROM recs",
+    "firsts": "SELECT country, lower(text) AS key, min(id) AS entity_id FROM recs WHERE source = 1 GROUP BY ALL",
+    "truth": "SELECT r.id AS record_id, f.entity_id FROM recs r JOIN firsts f ON r.country = f.country AND lower(r.text) = f.key WHERE r.source > 1",
+    "posts": f"SELECT country, 'words' AS view, id, source, unnest(list_distinct({_TOKENS.format('lower(text)')})) AS token FROM recs",
     "posts_e": "SELECT * FROM posts WHERE source = 1",
     "posts_q": "SELECT * FROM posts WHERE source > 1",
-    "voc": _vocab("posts_e", 0.5),
+    "voc": _vocab("posts_e", _CAP),
     "w_e": _weights("posts_e", "voc"),
     "w_q": _weights("posts_q", "voc"),
     "scored": _scores("w_q", "w_e"),
@@ -114,7 +120,7 @@ _STEPS = {
     "vposts": "SELECT country, 'name' AS view, id, source, unnest(list_distinct(list_transform(core, lambda t: 'n:' || t))) AS token FROM prs UNION ALL SELECT country, 'address', id, source, unnest(list_distinct(list_concat(list_transform(addr, lambda t: 'a:' || t), list_transform(numbers, lambda t: 'd:' || t)))) FROM prs",
     "vposts_e": "SELECT * FROM vposts WHERE source = 1",
     "vposts_q": "SELECT * FROM vposts WHERE source > 1",
-    "vvoc": _vocab("vposts_e", 0.2),
+    "vvoc": _vocab("vposts_e", _CAP),
     "vw_e": _weights("vposts_e", "vvoc"),
     "vw_q": _weights("vposts_q", "vvoc"),
     "vscored": _scores("vw_q", "vw_e"),
@@ -145,16 +151,16 @@ _FEATURES = {
 
 _QUERIES = {
     "flagship_cosine_topk": "SELECT country, record_id, entity_id, score, rank FROM cands",
-    "tokenize_names": f"SELECT id, array_to_string(t, ' ') AS tokens, array_to_string({_core('t')}, ' ') AS core FROM (SELECT id, {_name_tokens('lower(n)')} AS t FROM (SELECT id, {_clean_name('name')} AS n FROM recs))",
+    "tokenize_names": f"SELECT id, array_to_string(t, ' ') AS tokens, array_to_string({_core('t')}, ' ') AS core FROM (SELECT id, {_name_tokens('lower(n)')} AS t FROM (SELECT id, {_clean_name('text')} AS n FROM recs))",
     "canon_numbers": f"SELECT c_custkey, {_canon('lower(c_name)')} AS canon FROM customer",
-    "abbrev_address": f"SELECT id, array_to_string({_addr_tokens('lower(a)')}, ' ') AS tokens FROM (SELECT id, {_junk('address')} AS a FROM recs)",
+    "abbrev_address": f"SELECT id, array_to_string({_addr_tokens('lower(a)')}, ' ') AS tokens FROM (SELECT id, {_junk('text')} AS a FROM recs)",
     "dba_tail": f"SELECT p_partkey, {_trade('x')} AS name FROM (SELECT p_partkey, p_name || [' d/b/a ', ' doing business as ', ' T/A ', ' aka ', ' and '][p_partkey % 5 + 1] || p_brand AS x FROM part)",
     "ordinal_strip": f"SELECT p_partkey, {_ordinals('x')} AS text FROM (SELECT p_partkey, p_brand || ' ' || p_size || ['st', 'ND', 'Rd', 'th', 'xx'][p_size % 5 + 1] || ' floor' AS x FROM part)",
-    "non_latin_flag": "SELECT id, regexp_matches(name, '[^\\x00-\\x7F]') AS non_latin FROM recs",
+    "non_latin_flag": "SELECT id, regexp_matches(text, '[^\\x00-\\x7F]') AS non_latin FROM recs",
     "numeric_keys": f"SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter({_TOKENS.format('x')}, lambda t: regexp_matches(t, '[0-9]')))), ' ') AS numbers FROM (SELECT c_custkey, lower(c_name || ' ' || c_mktsegment || ' ' || c_nationkey) AS x FROM customer)",
-    "fold_accents": "SELECT id, lower(strip_accents(name)) AS folded FROM recs",
-    "romanised_names": f"SELECT id, lower({_LATIN.format('name')}) AS latin FROM recs",
-    "char_ngram_df": f"SELECT country, gram, count(*) AS df FROM (SELECT country, unnest({_grams('lower(name)')}) AS gram FROM recs WHERE source = 1) GROUP BY ALL HAVING count(*) >= 3",
+    "fold_accents": "SELECT id, lower(strip_accents(text)) AS folded FROM recs",
+    "romanised_names": f"SELECT id, lower({_LATIN.format('text')}) AS latin FROM recs",
+    "char_ngram_df": f"SELECT country, gram, count(*) AS df FROM (SELECT country, unnest({_grams('lower(text)')}) AS gram FROM recs WHERE source = 1) GROUP BY ALL HAVING count(*) >= 3",
     "token_df_idf": f"SELECT country, token, df, round(idf, 6) AS idf FROM ({_vocab('posts_e', 1.0)})",
     "df_cap_sweep": "SELECT cap, country, count(*) AS tokens, max(df) AS longest, CAST(sum(df) AS BIGINT) AS postings FROM (SELECT country, token, count(*) AS df FROM posts_e GROUP BY ALL) JOIN (SELECT country, count(DISTINCT id) AS n FROM posts_e GROUP BY 1) USING (country), (SELECT unnest([0.002, 0.02, 0.1, 0.5, 1.0])::DOUBLE AS cap) WHERE df <= greatest(1.0, cap * n) GROUP BY ALL",
     "composite_keys": "SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_transform(addr, lambda t: 'a:' || t), list_transform(numbers, lambda t: 'd:' || t), list_transform(core, lambda t: 'n:' || t), flatten(list_transform(list_sort(numbers)[1:4], lambda d: list_transform(list_sort(spots)[1:6], lambda p: 'c:' || d || '|' || p)))))), ' ') AS keys FROM prs",
@@ -162,17 +168,17 @@ _QUERIES = {
     "exact_key_selectivity": "SELECT key, CAST(sum(v) AS BIGINT) AS records, count(*) AS buckets, round(count(*) FILTER (v = 1) / count(*), 6) AS unique_share, round(sum(v * v) / sum(v), 6) AS expected_size FROM (SELECT key, value, count(*) AS v FROM keys WHERE value IS NOT NULL GROUP BY ALL) GROUP BY 1",
     "view_union_topk": "SELECT * FROM vuni",
     "shortlist_context": "SELECT record_id, entity_id, score_best, round(score_best - CASE WHEN p = 1 THEN coalesce(max(score_best) FILTER (p = 2) OVER w, 0.0) ELSE max(score_best) OVER w END, 6) AS score_margin_to_next, count(*) OVER w AS n_candidates_for_record FROM (SELECT *, row_number() OVER (PARTITION BY country, record_id ORDER BY score_best DESC, entity_id) AS p FROM vuni) WINDOW w AS (PARTITION BY country, record_id)",
-    "s1_side_topk": f"WITH v2 AS ({_vocab('posts_q', 0.5)}), q2 AS ({_weights('posts_e', 'v2')}), e2 AS ({_weights('posts_q', 'v2')}), s2 AS ({_scores('q2', 'e2')}) SELECT country, record_id AS query_entity, entity_id AS found_record, score, rank FROM ({_top('s2', 3)})",
+    "s1_side_topk": f"WITH v2 AS ({_vocab('posts_q', _CAP)}), q2 AS ({_weights('posts_e', 'v2')}), e2 AS ({_weights('posts_q', 'v2')}), s2 AS ({_scores('q2', 'e2')}) SELECT country, record_id AS query_entity, entity_id AS found_record, score, rank FROM ({_top('s2', 3)})",
     "floored_topk": f"SELECT record_id, entity_id, score, rank FROM ({_top('(SELECT * FROM scored WHERE score > 0.3)', 5)})",
     "invert_shortlists": "SELECT country, entity_id, CAST(count(*) AS INT) AS n, arg_min(record_id, {'s': -score, 'r': record_id}) AS best_record FROM cands GROUP BY ALL",
     "recall_at_k": "SELECT CAST(k AS INT) AS k, CAST(sum(n) AS BIGINT) AS links, CAST(sum(f) AS BIGINT) AS found, round(sum(f) / sum(n), 6) AS recall, count(*) FILTER (f = n) AS entities_full FROM (SELECT k, t.entity_id, count(*) AS n, count(*) FILTER (c.rank < k) AS f FROM truth t LEFT JOIN cands10 c USING (record_id, entity_id), (SELECT unnest([1, 2, 3, 5, 10]) AS k) GROUP BY ALL) GROUP BY 1",
-    "miss_reasons": f"WITH v5 AS ({_vocab('posts_e', 0.05)}), q5 AS ({_weights('posts_q', 'v5')}), e5 AS ({_weights('posts_e', 'v5')}), s5 AS ({_scores('q5', 'e5')}), c5 AS ({_top('s5', 1)}) SELECT CASE WHEN trim(r.address) = '' THEN 'empty_address' WHEN regexp_matches(r.name, '[^\\x{{0000}}-\\x{{024F}}]') <> regexp_matches(e.name, '[^\\x{{0000}}-\\x{{024F}}]') THEN 'cross_script' ELSE 'other' END AS reason, count(*) AS n FROM truth t ANTI JOIN c5 USING (record_id, entity_id) JOIN recs r ON r.id = t.record_id JOIN recs e ON e.id = t.entity_id GROUP BY 1",
+    "miss_reasons": f"WITH v5 AS ({_vocab('posts_e', _CAP)}), q5 AS ({_weights('posts_q', 'v5')}), e5 AS ({_weights('posts_e', 'v5')}), s5 AS ({_scores('q5', 'e5')}), c5 AS ({_top('s5', 1)}) SELECT CASE WHEN trim(r.address) = '' THEN 'empty_address' WHEN regexp_matches(r.name, '[^\\x{{0000}}-\\x{{024F}}]') <> regexp_matches(e.name, '[^\\x{{0000}}-\\x{{024F}}]') THEN 'cross_script' ELSE 'other' END AS reason, count(*) AS n FROM truth t ANTI JOIN c5 USING (record_id, entity_id) JOIN recs r ON r.id = t.record_id JOIN recs e ON e.id = t.entity_id GROUP BY 1",
     "budget_sweep": "SELECT k, floor, cap, count(*) AS pairs, round(count(*) / (SELECT count(*) FROM ents), 6) AS per_entity, count(t.record_id) AS found FROM (SELECT c.*, g.*, row_number() OVER (PARTITION BY k, floor, cap, entity_id ORDER BY score DESC, record_id) AS rn FROM cands c, (VALUES (5::INT, 0.0::DOUBLE, 1000::INT), (3, 0.2, 50), (2, 0.3, 10), (5, 0.3, 3)) g(k, floor, cap) WHERE rank < k AND score >= floor) x LEFT JOIN truth t USING (record_id, entity_id) WHERE rn <= cap GROUP BY ALL",
     "candidate_cost_curve": "SELECT CAST(k AS INT) AS k, count(*) FILTER (rank < k) AS pairs, round(count(*) FILTER (rank < k) / count(DISTINCT record_id), 6) AS per_query, CAST(round(count(*) FILTER (rank < k) / count(DISTINCT record_id) * 1000000) AS BIGINT) AS projected FROM cands, (SELECT unnest([1, 2, 3, 5]) AS k) GROUP BY k",
     "candidate_score_percentiles": "SELECT p, round(quantile_cont(score, p), 6) AS value FROM (SELECT unnest([0.1]) AS p, score FROM cands) GROUP BY 1",
-    "hard_negatives": "SELECT record_id, entity_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY shared DESC, entity_id) AS rn FROM (SELECT q.id AS record_id, e.id AS entity_id, count(*) AS shared FROM posts_q q JOIN posts_e e USING (country, token) JOIN (SELECT country, token FROM posts_e GROUP BY ALL HAVING count(*) <= 100) USING (country, token) GROUP BY ALL) ANTI JOIN truth USING (record_id, entity_id)) WHERE rn <= 2",
+    "hard_negatives": "SELECT record_id, entity_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY shared DESC, entity_id) AS rn FROM (SELECT q.id AS record_id, e.id AS entity_id, count(*) AS shared FROM posts_q q JOIN posts_e e USING (country, token) JOIN (SELECT country, token FROM posts_e GROUP BY ALL HAVING count(*) <= 3000) USING (country, token) GROUP BY ALL) ANTI JOIN truth USING (record_id, entity_id)) WHERE rn <= 2",
     "pair_set_features": "SELECT record_id, entity_id, " + ", ".join(f"CAST(round({v}, 6) AS DOUBLE) AS {k}" for k, v in _FEATURES.items()) + " FROM sided",
-    "pair_idf_overlap": f"WITH nposts AS (SELECT * FROM vposts WHERE view = 'name'), nposts_e AS (SELECT * FROM nposts WHERE source = 1), nv AS ({_vocab('nposts_e', 0.2)}), o AS (SELECT id, token, idf FROM nposts JOIN nv USING (country, token)), tot AS (SELECT id, sum(idf) AS t FROM o GROUP BY 1), sh AS (SELECT record_id, entity_id, sum(a.idf) AS s, max(a.idf) AS m FROM cands2 c JOIN o a ON a.id = c.record_id JOIN o b ON b.id = c.entity_id AND a.token = b.token GROUP BY ALL) SELECT c.record_id, c.entity_id, CASE WHEN coalesce(ta.t, 0) + coalesce(tb.t, 0) - coalesce(s, 0) > 0 THEN round(coalesce(s, 0) / (coalesce(ta.t, 0) + coalesce(tb.t, 0) - coalesce(s, 0)), 6) ELSE 0.0 END AS overlap, round(coalesce(m, 0.0), 6) AS rare FROM cands2 c LEFT JOIN sh USING (record_id, entity_id) LEFT JOIN tot ta ON ta.id = c.record_id LEFT JOIN tot tb ON tb.id = c.entity_id",
+    "pair_idf_overlap": f"WITH nposts AS (SELECT * FROM vposts WHERE view = 'name'), nposts_e AS (SELECT * FROM nposts WHERE source = 1), nv AS ({_vocab('nposts_e', _CAP)}), o AS (SELECT id, token, idf FROM nposts JOIN nv USING (country, token)), tot AS (SELECT id, sum(idf) AS t FROM o GROUP BY 1), sh AS (SELECT record_id, entity_id, sum(a.idf) AS s, max(a.idf) AS m FROM cands2 c JOIN o a ON a.id = c.record_id JOIN o b ON b.id = c.entity_id AND a.token = b.token GROUP BY ALL) SELECT c.record_id, c.entity_id, CASE WHEN coalesce(ta.t, 0) + coalesce(tb.t, 0) - coalesce(s, 0) > 0 THEN round(coalesce(s, 0) / (coalesce(ta.t, 0) + coalesce(tb.t, 0) - coalesce(s, 0)), 6) ELSE 0.0 END AS overlap, round(coalesce(m, 0.0), 6) AS rare FROM cands2 c LEFT JOIN sh USING (record_id, entity_id) LEFT JOIN tot ta ON ta.id = c.record_id LEFT JOIN tot tb ON tb.id = c.entity_id",
     "pair_jaro_winkler": "SELECT record_id, entity_id, CASE WHEN l.nj = '' AND r.nj = '' THEN 1.0 ELSE round(jaro_winkler_similarity(l.nj, r.nj), 6) END AS similarity FROM sided",
     "assign_argmax_margin": "SELECT * FROM decs",
     "assign_threshold": "SELECT record_id, entity_id FROM acc WHERE margin >= 0.01",

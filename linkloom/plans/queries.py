@@ -135,14 +135,14 @@ def exact_key_selectivity(rows):
 @query
 def view_union_topk(rows):
     queries, index = A.sides(V.parsed(rows))
-    found = retrieval.retrieve(V.postings(queries, ("name", "address")), V.postings(index, ("name", "address")), 5, 0.2)
+    found = retrieval.retrieve(V.postings(queries, ("name", "address")), V.postings(index, ("name", "address")), 5, A.CAP)
     return retrieval.union_of_views(found, ("name", "address"))
 
 
 @query
 def shortlist_context(rows):
     queries, index = A.sides(V.parsed(rows))
-    found = retrieval.retrieve(V.postings(queries, ("name", "address")), V.postings(index, ("name", "address")), 5, 0.2)
+    found = retrieval.retrieve(V.postings(queries, ("name", "address")), V.postings(index, ("name", "address")), 5, A.CAP)
     return retrieval.with_context(retrieval.union_of_views(found, ("name", "address"))).select("record_id", "entity_id", "score_best", "score_margin_to_next", "n_candidates_for_record")
 
 
@@ -151,20 +151,20 @@ def s1_side_topk(rows):
     """Roles swapped: records are searched for each entity, and define document frequencies."""
     queries, index = A.sides(rows)
     p = A.word_postings(queries)
-    return retrieval.retrieve(A.word_postings(index), p, 3, 0.5).select("country", F.col("record_id").alias("query_entity"), F.col("entity_id").alias("found_record"), "score", "rank")
+    return retrieval.retrieve(A.word_postings(index), p, 3, A.CAP).select("country", F.col("record_id").alias("query_entity"), F.col("entity_id").alias("found_record"), "score", "rank")
 
 
 @query
 def floored_topk(rows):
     queries, index = A.sides(rows)
-    return retrieval.retrieve(A.word_postings(queries), A.word_postings(index), 5, 0.5, 0.3).select("record_id", "entity_id", "score", "rank")
+    return retrieval.retrieve(A.word_postings(queries), A.word_postings(index), 5, A.CAP, 0.3).select("record_id", "entity_id", "score", "rank")
 
 
 @query
 def pruned_topk(rows):
     """The same by prefix filtering."""
     queries, index = A.sides(rows)
-    vocab = retrieval.vocabulary(A.word_postings(index), 0.5)
+    vocab = retrieval.vocabulary(A.word_postings(index), A.CAP)
     q, e = retrieval.weighted(A.word_postings(queries), vocab), retrieval.weighted(A.word_postings(index), vocab)
     return retrieval.top_k(retrieval.pruned_scores(q, e, 0.3), 5).select("record_id", "entity_id", "score", "rank")
 
@@ -182,7 +182,7 @@ def recall_at_k(rows):
 
 @query
 def miss_reasons(rows):
-    return retrieval.miss_reasons(A.word_candidates(rows, 1, 0.05), A.links(rows), rows)
+    return retrieval.miss_reasons(A.word_candidates(rows, 1), A.links(rows), rows)
 
 
 @query
@@ -230,7 +230,7 @@ def pair_set_features(rows):
 def pair_idf_overlap(rows):
     parsed = V.parsed(rows)
     p = V.postings(parsed, ("name",))
-    vocab = retrieval.vocabulary(V.postings(A.sides(parsed)[1], ("name",)), 0.2)
+    vocab = retrieval.vocabulary(V.postings(A.sides(parsed)[1], ("name",)), A.CAP)
     found = pairs.idf_overlap(A.word_candidates(rows, 2), p, vocab, "n", "name")
     return found.select("record_id", "entity_id", F.round("name_idf_overlap", 6).alias("overlap"), F.round("name_rare_shared", 6).alias("rare"))
 
@@ -252,7 +252,7 @@ def pair_fuzzy_ratios(rows):
 def pair_features_33(rows):
     parsed = V.parsed(rows)
     index = A.sides(parsed)[1]
-    return pairs.pair_features(A.view_candidates(parsed), parsed, V.postings(parsed), retrieval.vocabulary(V.postings(index), 0.2))
+    return pairs.pair_features(A.view_candidates(parsed), parsed, V.postings(parsed), retrieval.vocabulary(V.postings(index), A.CAP))
 
 
 # Decisions ----------------------------------------------------------------------------------
@@ -340,7 +340,7 @@ def record_precision_recall(rows):
 @query
 def blocking_recall_sampled(rows):
     """Share of sampled owned records whose owner was retrieved."""
-    some = splits.sample(rows.where("source > 1"), 0.5).select(F.col("id").alias("record_id"))
+    some = splits.sample(rows.where("source > 1"), 0.5, by=splits.number).select(F.col("id").alias("record_id"))
     owned = A.links(rows).join(some, "record_id", "left_semi")
     got = A.word_candidates(rows).select("record_id", "entity_id", F.lit(1).alias("hit"))
     return owned.join(got, ["record_id", "entity_id"], "left").agg(F.count("*").alias("links"), F.count("hit").alias("found"))
@@ -464,12 +464,12 @@ def stream_shards(rows):
 
 @query
 def grouped_holdout(rows):
-    return splits.holdout(rows.where("source = 1").select("id", "country"))
+    return splits.holdout(rows.where("source = 1").select("id", "country"), by=splits.number)
 
 
 @query
 def holdout_mix(rows):
-    return splits.split_mix(splits.holdout(rows.where("source = 1").select("id", "country")))
+    return splits.split_mix(splits.holdout(rows.where("source = 1").select("id", "country"), by=splits.number))
 
 
 @query
@@ -479,32 +479,32 @@ def loco_folds(rows):
 
 @query
 def hash_sample(rows):
-    return splits.sample(rows, 0.1).select("id")
+    return splits.sample(rows, 0.1, by=splits.number).select("id")
 
 
 @query
 def fixed_sample(rows):
-    return splits.fixed_sample(rows, 100).select("id")
+    return splits.fixed_sample(rows, 100, by=splits.number).select("id")
 
 
 @query
 def half_split(rows):
-    return splits.halves(A.entities(rows)).select("entity_id", "half")
+    return splits.halves(A.entities(rows), by=splits.number).select("entity_id", "half")
 
 
 @query
 def dev_pool(rows):
-    return splits.dev_pool(rows, A.links(rows), 50).select("id", "source")
+    return splits.dev_pool(rows, A.links(rows), 50, by=splits.number).select("id", "source")
 
 
 @query
 def fast_eval_queries(rows):
-    return splits.evaluation_queries(rows, A.links(rows), 0.05).select("id")
+    return splits.evaluation_queries(rows, A.links(rows), 0.05, by=splits.number).select("id")
 
 
 @query
 def labelled_pairs(rows):
-    held = splits.holdout(rows.where("source = 1").select("id", "country")).where("split = 'valid'").select(F.col("id").alias("entity_id"))
+    held = splits.holdout(rows.where("source = 1").select("id", "country"), by=splits.number).where("split = 'valid'").select(F.col("id").alias("entity_id"))
     found = pairs.labelled(A.word_candidates(rows), A.links(rows), held)
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
