@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm._stage import staged
+from linkloom.llm._stage import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,5 +27,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "low", "a")
         small = small.select(F.col("x").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        edges = staged(small, "edges")
+        before_this, edges = edges, staged(small, "edges")
+        discard(before_this)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -6,18 +6,23 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only where it is unset."""
+    """`spark.checkpoint.dir` of the session.  Where it is unset, a folder of our own in local mode
+    and an error on a cluster, whose machines do not share their disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         folder = tempfile.TemporaryDirectory(prefix="linkloom-")
         _own["dir"] = f"file://{folder.name}"
@@ -31,7 +36,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/linkloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `staged` that nothing unwritten depends on any more."""
+    for table in tables:
+        ref, path = _paths.pop(id(table), (None, None))
+        if ref is not None and ref() is table:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -4,24 +4,34 @@ Two documents link when the Jaccard similarity of their word-shingle sets is at
 `Join.percent` / 100.  The result is exact: classes of equal sets, and the connected
 components of all links between classes.
 
-1. One pass gives every row a key of its shingle set (equal sets, one class) and adds
-   the shingles to a count sketch of fixed size, which orders shingles by rarity.
+1. One pass gives every row a 128-bit key of its shingle set (equal sets, one class) and adds
+   the shingles to a count sketch, which orders shingles by rarity.
 2. Routing: of n shingles, the n - ceil(p n) + m rarest hold m that are also among the
    rarest of any partner, where m = 1 + n / `Join.slack` for the smaller set.  Shingles that
    only one class has drop out at once; so do classes with fewer shared ones than their
-   smallest possible partner needs, and what only they shared, in turn.
-3. Each routed group is a set of points: shingles hashed into `Join.groups` groups, the
-   group counts as coordinates.  An R-tree over them bounds the overlap of a query with a
-   node by the summed minima of the query and the node's upper corner, and with a point by
-   the summed minima of both.  Pairs that survive are verified on whole shingle sets.
-4. Three rounds keep the pairs, and so the shingle sets to make and move, few: first each point with the group's best-connected point,
-   then each point's best partner in every component it has no link to yet, then all
-   that is left.  Points that are already connected need no further proof.
-   A group of more than `Join.block` points is joined block by block, in tasks of its own.
+   smallest possible partner needs, and what only they shared, in turn.  The class that shares
+   most is a shingle's hub; all classes with a shingle of that hub form one group, so two that
+   share any routed shingle meet in a group.
+3. Each group is a set of points: shingles hashed into `Join.groups` groups, the group counts as
+   coordinates.  A packed R-tree over them bounds the overlap of a query with a node by the
+   summed minima of the query and the node's upper corner, and with a point by the summed
+   minima of both.  Pairs that survive are verified on whole shingle sets.  Every pair comes
+   out of a tree; groups of two have one as well.
+4. Three rounds of queries keep the pairs, and so the shingle sets to move, few: first the hubs
+   ask their trees, and each point is paired with its best hub; then each point asks for its
+   best partner in every component it has no link to yet; then for all that is left.  Points
+   that are already connected need no further proof.
+
+Hot groups: a shingle whose sketch count is far above the mean is dealt to several tasks; a group
+of more than `Join.block` points is joined block by block (the hub is sent to every block), in
+tasks of its own; components are combined before they are shuffled.  The sketch and the
+bit maps have at most 2 ** `map_bits_most` bits; a fuller one filters and orders less well, and
+changes no result.
 
 No pair of equal sets is ever made, no group is collected, and neither links nor keys go to
-the driver; it sees the sketch and a bit map, both of fixed size.  Every intermediate table
-is written to the shared folder, so a lost executor costs only its running tasks.
+the driver; it sees the sketch and a bit map, both of bounded size.  Every intermediate table
+is written to the shared folder, so a lost executor costs only its running tasks; tables that
+nothing needs any more are deleted.
 
 Null text and text without words have an empty set and link with nothing.  Fewer words than
 a shingle form one shingle.  Repeated rows and ids each get a row.  Extra columns are
@@ -40,22 +50,24 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
 from linkloom.llm._graph import components
-from linkloom.llm._stage import small_batches, staged
+from linkloom.llm._stage import discard, small_batches, staged
 
 _MASK = (1 << 64) - 1
+FULL = 65535  # a coordinate that says no more than `at least this`
 
 
 @dataclass(frozen=True)
 class Join:
     words: int = 5
     percent: int = 80
-    groups: int = 256  # coordinates of a point
+    groups: int = 128  # coordinates of a point
     sketch_bits: int = 21
     met_bits: int = 24
-    map_bits: int = 24
+    map_bits_most: int = 28
     slack: int = 25
-    leaf: int = 32  # points in a leaf of the tree
-    block: int = 4096  # points joined in one task
+    leaf: int = 8  # children of a node of the tree
+    block: int = 1024  # points joined in one task
+    hot: int = 50_000  # rows of a shingle in one task
 
 
 def shingle_sets(texts: B.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +99,33 @@ def shingle_sets(texts: B.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    pre = np.append(np.uint64(0), np.cumsum(B.mix(flat), dtype=np.uint64))
+    """A row of two 64-bit words for each set; they sum different mixes of the same shingles."""
     n = np.diff(first).astype(np.uint64)
-    return B.mix(pre[first[1:]] - pre[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    out = np.empty((len(n), 2), np.uint64)
+    for i, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        pre = np.append(np.uint64(0), np.cumsum(B.mix(flat * np.uint64(odd) if i else flat), dtype=np.uint64))
+        out[:, i] = B.mix(pre[first[1:]] - pre[first[:-1]] + n * np.uint64(odd))
+    return out
 
 
-def _binary(data: np.ndarray, width: int) -> pa.Array:
-    """Fixed rows of a 2-d array as binary values."""
+def _binary(data: np.ndarray) -> pa.Array:
+    """Rows of a 2-d array as binary values of one width."""
+    data = np.ascontiguousarray(data)
+    width = data.shape[1] * data.itemsize
     offs = np.arange(len(data) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+
+
+def _rows(column: pa.Array, kind, width: int) -> np.ndarray:
+    """Binary values of one width as rows of a 2-d array."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if not n:
+        return np.zeros((0, width), kind)
+    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    size = width * np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + n * size].view(kind).reshape(n, width)
 
 
 def _scan(how: Join):
@@ -117,10 +147,10 @@ def _scan(how: Join):
                 met[cell] = True
                 sketch += np.bincount((again >> np.uint64(64 - how.sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 m = texts.hi - texts.lo
-                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], pa.array(np.diff(first)), pa.array(set_keys(flat, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], pa.array(np.diff(first)), _binary(set_keys(flat, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
             counts = np.minimum(sketch, 65535).astype(np.uint16).reshape(blocks, size)
-            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kind), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.array(np.arange(blocks), pa.int32()), _binary(counts, 2 * size)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kind), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()), pa.array(np.arange(blocks), pa.int32()), _binary(counts)], names)
 
     return run
 
@@ -144,58 +174,74 @@ def _rarity(parts: DataFrame, how: Join) -> np.ndarray:
     return out.ravel()
 
 
+def _salts(rarity: np.ndarray, how: Join) -> np.ndarray:
+    """For every sketch cell, over how many tasks (as a power of 2) a shingle's rows are dealt: one,
+    unless its count is above `hot` and far above the mean, which collisions alone explain."""
+    count = np.exp2(np.arange(256) / 8) - 1
+    mean = count[rarity].mean() if len(rarity) else 0.0
+    bits = np.ceil(np.log2(np.maximum(count / how.hot, 1))).astype(np.uint8)
+    return np.where(count > 64 * mean, bits, 0).astype(np.uint8)[rarity]
+
+
 def _prefixes(how: Join, rarity):
-    """(token, key, n) of the rarest shingles of each set, once per set and task."""
+    """(token, salt, key, n) of the rarest shingles of each set, once per set and task; salt -1
+    where a token goes to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = rarity.value, set()
+        (cells, salts), seen = rarity.value, set()
         for batch in batches:
             for texts in B.slices(batch.column(0)):
                 flat, first = shingle_sets(texts, how.words)
                 keys, size = set_keys(flat, first), np.diff(first)
-                ordered = (cells[(flat >> np.uint64(64 - how.sketch_bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (flat >> np.uint64(8))
-                tokens, take, own = [], [], []
-                for i, key in enumerate(keys.tolist()):
+                cell = (flat >> np.uint64(64 - how.sketch_bits)).astype(np.int64)
+                ordered = (cells[cell].astype(np.uint64) << np.uint64(56)) | (flat >> np.uint64(8))
+                tokens, dealt, take, own = [], [], [], []
+                for i, key in enumerate(map(bytes, keys)):
                     if size[i] and key not in seen:
                         seen.add(key)
                         n = int(size[i])
-                        part = np.sort(ordered[first[i] : first[i + 1]])[: n - -(-how.percent * n // 100) + 1 + n // how.slack]
-                        tokens.append(part)
-                        take.append(len(part))
+                        part = slice(first[i], first[i + 1])
+                        best = np.argsort(ordered[part], kind="stable")[: n - -(-how.percent * n // 100) + 1 + n // how.slack]
+                        tokens.append(ordered[part][best])
+                        bits = salts[cell[part][best]].astype(np.uint64)
+                        dealt.append(np.where(bits > 0, (keys[i, 0] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), -1))
+                        take.append(len(best))
                         own.append(i)
                 if own:
                     take = np.array(take)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(keys[own], take)), pa.array(np.repeat(size[own], take).astype(np.int32))], ["token", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(dealt).astype(np.int32)), _binary(np.repeat(keys[own], take, 0)), pa.array(np.repeat(size[own], take).astype(np.int32))], ["token", "salt", "key", "n"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and key: each pair once, without tokens of a single key."""
+    """Of rows sorted by token, salt and key: each pair once, without tokens of a single key (but
+    all of salted ones, whose other keys are elsewhere)."""
     held = None  # the last row, and whether it is known to be shared
     names = ["token", "key", "n"]
     for batch in batches:
-        cols = [np.asarray(batch.column(i)) for i in range(3)]
+        cols = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), _rows(batch.column(2), np.uint64, 2), np.asarray(batch.column(3))]
         known = False
         if held is not None:
-            cols = [np.append(h, c) for h, c in zip(held[0], cols)]
+            cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols)]
             known = held[1]
         if not len(cols[0]):
             continue
+        token = lambda a, b: (cols[0][a] == cols[0][b]) & (cols[1][a] == cols[1][b])  # noqa: B023, E731
         new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        new[1:] = ~token(slice(1, None), slice(-1)) | (cols[2][1:] != cols[2][:-1]).any(1)
         cols = [c[new] for c in cols]
-        same = cols[0][1:] == cols[0][:-1]
-        keep = np.zeros(len(cols[0]), bool)
-        keep[0] = known
+        same = token(slice(1, None), slice(-1))
+        keep = cols[1] >= 0
+        keep[0] |= known
         keep[1:] |= same
         keep[:-1] |= same
         held = ([c[-1:] for c in cols], bool(keep[-1]))
         keep[-1] = False
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][keep]), _binary(cols[2][keep]), pa.array(cols[3][keep])], names)
     if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names)
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), _binary(held[0][2]), pa.array(held[0][3])], names)
 
 
 def _peeled(shared: DataFrame, how: Join) -> DataFrame:
@@ -206,12 +252,17 @@ def _peeled(shared: DataFrame, how: Join) -> DataFrame:
     return left.join(left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token").select("token", "key", "n")
 
 
-def _bit_map(keys: DataFrame, map_bits: int) -> np.ndarray:
-    """A Bloom map of keys with one hash: 2 ** map_bits bits whatever the number of keys."""
-    words = keys.select(F.shiftrightunsigned("key", 64 - map_bits).alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (map_bits - 6), np.int64)
-    for row in words.collect():
-        out[row.word] = row.bits
+def _bit_map(keys: DataFrame, how: Join) -> np.ndarray:
+    """A Bloom map of keys with one hash, of 16 to 32 bits a key up to 2 ** map_bits_most."""
+    bits = min(how.map_bits_most, max(16, int(16 * keys.count()).bit_length()))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((_rows(batch.column(0), np.uint64, 2)[:, 0] >> np.uint64(64 - bits)).astype(np.int64))], ["cell"])
+
+    words = keys.select("key").mapInArrow(cells, "cell long").groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+    out, found = np.zeros(1 << (bits - 6), np.int64), words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -221,23 +272,25 @@ def _points(how: Join, cells, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = cells.value, set()
+        shift = np.uint64(64 - (len(bits).bit_length() + 5))
         for batch in batches:
             for texts in B.slices(batch.column(0)):
                 flat, first = shingle_sets(texts, how.words)
                 keys = set_keys(flat, first)
-                cell = keys.view(np.uint64) >> np.uint64(64 - how.map_bits)
+                cell = keys[:, 0] >> shift
                 passes = (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1)
-                out: list[list] = [[], [], []]
+                own, size, out = [], [], []
                 for i in np.flatnonzero((passes > 0) & (np.diff(first) > 0)).tolist():
-                    key = int(keys[i])
+                    key = bytes(keys[i])
                     if key not in seen:
                         seen.add(key)
-                        own = flat[first[i] : first[i + 1]]
-                        point = own if whole else np.bincount((own % np.uint64(how.groups)).astype(np.int64), minlength=how.groups).astype(np.uint32)
-                        for column, v in zip(out, (key, len(own), point.tobytes())):
-                            column.append(v)
-                keys_out, points = pa.array(out[0], pa.int64()), pa.array(out[2], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys_out, points] if whole else [keys_out, pa.array(out[1], pa.int32()), points], ["key", "shingles"] if whole else ["key", "n", "point"])
+                        part = flat[first[i] : first[i + 1]]
+                        point = part if whole else np.minimum(np.bincount((part % np.uint64(how.groups)).astype(np.int64), minlength=how.groups), FULL).astype(np.uint16)
+                        own.append(i)
+                        size.append(len(part))
+                        out.append(point.tobytes())
+                rest = [pa.array(out, pa.binary())] if whole else [pa.array(size, pa.int32()), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays([_binary(keys[own]), *rest], ["key", "shingles"] if whole else ["key", "n", "point"])
 
     return run
 
@@ -247,90 +300,55 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-class CountTree:
-    """Packed R-tree over count vectors; each node keeps its upper corner and least size."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, how: Join):
-        self.how = how
-        coarse = points.reshape(len(points), 8, -1).sum(2)  # pack by size, then by coarse counts
-        self.order = np.lexsort((*coarse.T, sizes))
-        self.levels = [(points[self.order], sizes[self.order])]
-        while len(self.levels[-1][0]) > how.leaf:
-            upper, least = self.levels[-1]
-            cut = np.arange(0, len(upper), how.leaf)
-            self.levels.append((np.maximum.reduceat(upper, cut), np.minimum.reduceat(least, cut)))
-
-    def query(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points that may link with the query, and the bound on their overlap."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for i in range(len(self.levels) - 1, -1, -1):
-            upper, least = self.levels[i]
-            bound = np.minimum(upper[nodes], point).sum(1)
-            ok = bound >= needed(least[nodes], size, self.how.percent)
-            nodes, bound = nodes[ok], bound[ok]
-            if i:
-                nodes = (nodes[:, None] * self.how.leaf + np.arange(self.how.leaf)).ravel()
-                nodes = nodes[nodes < len(self.levels[i - 1][0])]
-        return self.order[nodes], bound
-
-
-def _leaf_pairs(group: np.ndarray, t: dict[str, np.ndarray], how: Join) -> list[np.ndarray]:
-    """Row pairs of groups that fit one leaf: all points of a leaf at once."""
-    out = []
-    for d in range(1, how.leaf):
-        i = np.flatnonzero(group[d:] == group[:-d]) if d < len(group) else np.zeros(0, np.int64)
-        if not len(i):
-            break
-        i = i[t["component"][i] != t["component"][i + d]]
-        for part in np.array_split(i, len(i) // 4096 + 1):
-            bound = np.minimum(t["point"][part], t["point"][part + d]).sum(1)
-            ok = part[bound >= needed(t["n"][part], t["n"][part + d], how.percent)]
-            out.append(np.stack([t["key"][ok], t["key"][ok + d]], 1))
-    return out
-
-
-def _tree_pairs(t: dict[str, np.ndarray], how: Join, best_only: bool) -> list[np.ndarray]:
-    """Row pairs of one large group."""
-    tree, out = CountTree(t["point"], t["n"], how), []
-    for i in range(len(t["key"])):
-        near, bound = tree.query(t["point"][i], int(t["n"][i]))
-        ok = t["component"][near] != t["component"][i]
-        if t["left"][0] != t["right"][0]:
-            ok &= t["own"][near] != t["own"][i]
-        near, bound = near[ok], bound[ok]
-        if best_only and len(near):
-            order = np.lexsort((t["key"][near], -bound / (t["n"][near] + t["n"][i]), t["component"][near]))
-            near = near[order]
-            c = t["component"][near]
-            near = near[np.append(True, c[1:] != c[:-1])]
-        elif not best_only:
-            near = near[near > i]
-        out.append(np.stack([np.full(len(near), t["key"][i]), t["key"][near]], 1))
-    return out
-
-
-def _survivors(how: Join, best_only: bool):
-    """Pairs of different components that the bound lets through, of rows sorted by group
-    (token, left, right).  Groups that fit a leaf are done in the first round."""
-
-    def emit(table: pa.Table) -> pa.RecordBatch:
-        t = {n: table.column(n).to_numpy() for n in ("token", "left", "right", "own", "key", "component", "n")}
-        t["n"] = t["n"].astype(np.int64)
-        t["point"] = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, how.groups).astype(np.int32)
-        new = np.append(True, (t["token"][1:] != t["token"][:-1]) | (t["left"][1:] != t["left"][:-1]) | (t["right"][1:] != t["right"][:-1]))
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        out = [np.zeros((0, 2), np.int64)]
-        small = np.flatnonzero(size[group] <= how.leaf)
-        if best_only and len(small):
-            out += _leaf_pairs(group[small], {k: v[small] for k, v in t.items()}, how)
-        first = np.flatnonzero(new)
-        for g in np.flatnonzero(size > how.leaf):
-            rows = slice(first[g], first[g] + size[g])
-            out += _tree_pairs({k: v[rows] for k, v in t.items()}, how, best_only)
-        both = np.concatenate(out)
-        both = np.unique(np.stack([both.min(1), both.max(1)], 1), axis=0) if len(both) else both
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bound on the overlap of rows of count vectors: the summed minima of their coordinates."""
+    least = np.minimum(x, y)
+    bound = least.sum(1, dtype=np.int64)
+    return bound + (least == FULL).any(1) * (1 << 40) if least.size and least.max() == FULL else bound
+
+
+class CountForest:
+    """Packed R-trees over count vectors, one for each group 0, 1, ..; `group` ascends.
+
+    Points are packed by size, then by coarse counts, `leaf` to a node.  A node keeps the upper
+    corner of its points and their least size; every tree has a root above its points."""
+
+    def __init__(self, group: np.ndarray, points: np.ndarray, sizes: np.ndarray, how: Join):
+        self.how, self.sizes = how, np.bincount(group)
+        coarse = points.reshape(len(points), 8, -1).sum(2)
+        self.order = np.lexsort((*coarse.T, sizes, group))
+        upper, least, own = points[self.order], sizes[self.order], group
+        self.levels, self.children = [(upper, least)], []
+        while not self.children or len(own) > len(self.sizes):
+            first = np.cumsum(np.bincount(own)) - np.bincount(own)
+            cut = np.flatnonzero((np.arange(len(own)) - first[own]) % how.leaf == 0)
+            self.children.append(np.append(cut, len(own)))
+            upper, least, own = np.maximum.reduceat(upper, cut), np.minimum.reduceat(least, cut), own[cut]
+            self.levels.append((upper, least))
+        self.tested = self.passed = 0  # nodes
+
+    def query(self, group: np.ndarray, points: np.ndarray, sizes: np.ndarray, step: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For queries with their groups: (query, point, bound) of all that may link, in parts."""
+        cost = np.cumsum(self.sizes[group])
+        for asked in np.split(np.arange(len(group)), np.flatnonzero(np.diff(cost // (1 << 20))) + 1):
+            q, node = asked, group[asked]
+            for i in range(len(self.levels) - 1, -1, -1):
+                upper, least = self.levels[i]
+                bound = np.empty(len(q), np.int64)
+                for a in range(0, len(q), step):
+                    bound[a : a + step] = _overlap(upper[node[a : a + step]], points[q[a : a + step]])
+                ok = bound >= needed(least[node], sizes[q], self.how.percent)
+                if i:
+                    self.tested, self.passed = self.tested + len(ok), self.passed + int(ok.sum())
+                    q, node = q[ok], node[ok]
+                    begin, end = self.children[i - 1][node], self.children[i - 1][node + 1]
+                    q = np.repeat(q, end - begin)
+                    node = np.arange(len(q)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
+            yield q[ok], self.order[node[ok]], bound[ok]
+
+
+def _by_group(emit, *group: str):
+    """Calls emit(table, number of each row's group) for runs of whole groups of sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -339,30 +357,80 @@ def _survivors(how: Join, best_only: bool):
                 continue
             whole = pa.Table.from_batches([batch])
             whole = whole if held is None else pa.concat_tables([held, whole])
-            group = [whole.column(c).to_numpy() for c in ("token", "left", "right")]
-            cut = np.flatnonzero(np.logical_or.reduce([g[1:] != g[:-1] for g in group]))
-            end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on in the next batch
+            new = _starts(whole, group)
+            end = int(new[-1])  # the last group may go on in the next batch
             if end:
-                yield emit(whole.slice(0, end))
+                yield emit(whole.slice(0, end).combine_chunks())
             held = whole.slice(end)
         if held is not None and held.num_rows:
-            yield emit(held)
+            yield emit(held.combine_chunks())
 
     return run
 
 
-def _bounded(how: Join):
-    """Pairs (a, b) whose points (x, y) may overlap enough."""
+def _starts(table: pa.Table, group: tuple[str, ...]) -> np.ndarray:
+    """First rows of the groups."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for c in group:
+        x = table.column(c)
+        x = _rows(x, np.uint64, 2) if pa.types.is_binary(x.type) else x.to_numpy().reshape(-1, 1)
+        new[1:] |= (x[1:] != x[:-1]).any(1)
+    return np.flatnonzero(new)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(part.num_rows, -1).astype(np.int64) for c in (2, 3))
-                ok = np.minimum(x, y).sum(1) >= needed(x.sum(1), y.sum(1), how.percent)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in part.columns[:2]], ["a", "b"])
 
-    return run
+def _grown(table: pa.Table, how: Join, group: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, CountForest]:
+    first = _starts(table, group)
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+    points = _rows(table.column("point"), np.uint16, how.groups)
+    sizes = table.column("n").to_numpy().astype(np.int64)
+    return number, points, sizes, CountForest(number, points, sizes, how)
+
+
+def _hub_pairs(how: Join):
+    """(a, b, share): what each group's hub finds in the group's tree, with the bound's share of
+    both sizes; rows are sorted by (hub, chunk)."""
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        number, points, sizes, forest = _grown(table, how, ("hub", "chunk"))
+        key = _rows(table.column("key"), np.uint64, 2)
+        asks = np.flatnonzero((_rows(table.column("hub"), np.uint64, 2) == key).all(1))
+        out = [(asks[:0], asks[:0], asks[:0] * 0.5)]
+        for q, p, bound in forest.query(number[asks], points[asks], sizes[asks]):
+            q = asks[q]
+            some = q != p
+            q, p, bound = q[some], p[some], bound[some]
+            out.append((q, p, bound / (sizes[q] + sizes[p])))
+        q, p, share = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([_binary(key[q]), _binary(key[p]), pa.array(share)], ["a", "b", "share"])
+
+    return _by_group(emit, "hub", "chunk")
+
+
+def _survivors(how: Join, best_only: bool):
+    """Pairs (a, b) of different components that the trees let through, of rows sorted by group
+    (hub, left, right); of each point and other component the best one if `best_only`."""
+
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        number, points, sizes, forest = _grown(table, how, ("hub", "left", "right"))
+        key, component = (_rows(table.column(c), np.uint64, 2) for c in ("key", "component"))
+        own, across = table.column("own").to_numpy(), table.column("left").to_numpy() != table.column("right").to_numpy()
+        out = [np.zeros((0, 4), np.uint64)]
+        for q, p, bound in forest.query(number, points, sizes):
+            some = (component[q] != component[p]).any(1) & (~across[q] | (own[q] != own[p]))
+            q, p, bound = q[some], p[some], bound[some]
+            if best_only and len(q):
+                order = np.lexsort((p, -bound / (sizes[q] + sizes[p]), component[p, 1], component[p, 0], q))
+                q, p = q[order], p[order]
+                first = np.append(True, (q[1:] != q[:-1]) | (component[p[1:]] != component[p[:-1]]).any(1))
+                q, p = q[first], p[first]
+            elif not best_only:
+                q, p = q[q < p], p[q < p]
+            out.append(np.concatenate([key[q], key[p]], 1))
+        both = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([_binary(both[:, :2]), _binary(both[:, 2:])], ["a", "b"])
+
+    return _by_group(emit, "hub", "left", "right")
 
 
 def _verify(how: Join):
@@ -394,54 +462,71 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scan = staged(source.mapInArrow(_scan(how), f"doc_id {kind}, n long, key long, block int, counts binary"), "scan")
+    scan = staged(source.mapInArrow(_scan(how), f"doc_id {kind}, n long, key binary, block int, counts binary"), "scan")
     rows = scan.where("block is null").select("doc_id", "n", "key")
-    rarity = spark.sparkContext.broadcast(_rarity(scan, how))
+    order = _rarity(scan, how)
+    rarity = spark.sparkContext.broadcast((order, _salts(order, how)))
     text = source.select("text")
-    tokens = text.mapInArrow(_prefixes(how, rarity), "token long, key long, n int")
-    shared = staged(tokens.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n int"), "shared")
-    shared = staged(_peeled(_peeled(shared, how), how), "peeled")
-    cells = spark.sparkContext.broadcast(_bit_map(shared.select("key"), how.map_bits))
-    points = staged(text.mapInArrow(_points(how, cells, False), "key long, n int, point binary").dropDuplicates(["key"]), "points")
+    tokens = text.mapInArrow(_prefixes(how, rarity), "token long, salt int, key binary, n int")
+    met = staged(tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(_shared, "token long, key binary, n int"), "shared")
+    shared = staged(_peeled(_peeled(met, how), how), "peeled")
+    discard(met)
+    degree = shared.groupBy("key").agg(F.count("*").alias("degree"))
+    hub = shared.join(degree, "key").groupBy("token").agg(F.max(F.struct("degree", "key")).alias("hub"))
+    routed = staged(shared.join(hub, "token").select(F.col("hub.key").alias("hub"), "key").distinct(), "routed")
+    rarity.unpersist()
+    cells = spark.sparkContext.broadcast(_bit_map(shared.select("key").distinct(), how))
+    points = staged(text.mapInArrow(_points(how, cells, False), "key binary, n int, point binary").dropDuplicates(["key"]), "points")
+    discard(shared)
+    cells.unpersist()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that link, as a table.  Only sets of keys in pairs are made and moved."""
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
-        there = spark.sparkContext.broadcast(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")), how.map_bits))
-        own = text.mapInArrow(_points(how, there, True), "key long, shingles binary")
+        there = spark.sparkContext.broadcast(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), how))
+        own = text.mapInArrow(_points(how, there, True), "key binary, shingles binary")
         own = staged(own.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
         a = own.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
         b = own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long"), "links")
-
-    # Round 1: the point that shares most tokens is each group's hub.
-    degree = shared.groupBy("key").agg(F.count("*").alias("degree"))
-    hub = staged(shared.join(degree, "key").groupBy("token").agg(F.max(F.struct("degree", "key", "n")).alias("hub")), "hubs")
-    near = F.expr(f"100 * least(n, hub.n) >= {how.percent} * greatest(n, hub.n)")
-    star = shared.join(hub, "token").where("key <> hub.key").where(near).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
-    star = star.join(points.select(F.col("key").alias("a"), F.col("point").alias("x")), "a").join(points.select(F.col("key").alias("b"), F.col("point").alias("y")), "b")
-    links = verified(star.select("a", "b", "x", "y").mapInArrow(_bounded(how), "a long, b long"))
+        links = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a binary, b binary"), "links")
+        discard(own, pairs)
+        there.unpersist()
+        return links
+
+    # Round 1: hubs ask.  Groups of more than a block are cut into chunks, each with the hub.
+    large = staged(routed.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > how.block).select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("chunks")), "large")
+    chunks = F.coalesce("chunks", F.lit(1))
+    dealt = routed.join(large, "hub", "left").withColumn("chunk", F.explode(F.when(F.col("hub") == F.col("key"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), chunks).cast("int")))))
+    asked = dealt.select("hub", "chunk", "key").join(points, "key").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
+    asked = asked.select("hub", "chunk", "key", "n", "point").mapInArrow(_hub_pairs(how), "a binary, b binary, share double")
+    best = asked.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
+    links = verified(best)
     found = components(links)
-    # Rounds 2 and 3: what the tree lets through between components.  Hubs have met their groups.
+    # Rounds 2 and 3: what the trees let through between components.
     for best_only in (True, False):
         label = found.withColumnRenamed("node", "key")
-        members = shared.join(hub, "token").where("key <> hub.key").select("token", "key").join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        split = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-        split = split.where("lo <> hi").where(F.lit(best_only) | (F.col("m") > how.leaf)).select("token", F.ceil(F.col("m") / how.block).cast("int").alias("blocks"))
-        routed = members.join(split, "token").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        routed = routed.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "component")
-        routed = routed.join(points, "key").repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "key")
-        routed = routed.select("token", "left", "right", "own", "key", "component", "n", "point")
-        more = verified(routed.mapInArrow(_survivors(how, best_only), "a long, b long").distinct())
+        members = routed.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        split = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
+        split = staged(split.where("lo <> hi").select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "split")
+        if split.isEmpty():
+            break
+        cut = members.join(split, "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        cut = cut.select("hub", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "component")
+        cut = cut.join(points, "key").repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "key")
+        cut = cut.select("hub", "left", "right", "own", "key", "component", "n", "point").mapInArrow(_survivors(how, best_only), "a binary, b binary")
+        more = verified(cut.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
+    discard(routed, points)
     label = found.select(F.col("node").alias("key"), "component")
-    joined = rows.join(label, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    least = joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = staged(rows.join(label, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key"))), "labelled")
+    # Written before the join, so that a hot component is split there, or the minima broadcast.
+    least = staged(joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least"), "least")
+    discard(scan)
+    return joined.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op7_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:

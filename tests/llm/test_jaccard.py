@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from linkloom.llm.jaccard import CountTree, Join, jaccard_components, needed, op7_count_tree_join
+from linkloom.llm.jaccard import CountForest, Join, jaccard_components, needed, op7_count_tree_join
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,19 +78,52 @@ def test_near_copies_chains_and_hot_passages(spark, how):
     assert got == brute(docs)
 
 
-def test_tree_loses_nothing():
+def test_trees_lose_nothing_and_prune():
     rng = np.random.default_rng(1)
     how = Join(leaf=4, groups=32)
-    points = rng.poisson(3, (300, 32)).astype(np.int32)
-    points[100:] = points[:200] + rng.integers(0, 2, (200, 32)).astype(np.int32)
+    points = rng.poisson(3, (300, 32)).astype(np.uint16)
+    points[100:] = points[:200] + rng.integers(0, 2, (200, 32)).astype(np.uint16)
     sizes = points.sum(1).astype(np.int64)
-    tree = CountTree(points, sizes, how)
-    for i in range(0, 300, 7):
-        near, bound = tree.query(points[i], int(sizes[i]))
-        all_bounds = np.minimum(points, points[i]).sum(1)
-        want = np.flatnonzero(all_bounds >= needed(sizes, sizes[i], 80))
-        assert sorted(near.tolist()) == want.tolist()
-        assert (bound == all_bounds[near]).all()
+    group = np.sort(rng.integers(0, 6, 300))
+    group[0] = 0
+    group = np.unique(group, return_inverse=True)[1]
+    forest = CountForest(group, points, sizes, how)
+    got = {(int(q), int(p)): int(b) for part in forest.query(group, points, sizes, step=7) for q, p, b in zip(*part)}
+    want = {}
+    for i in range(300):
+        bound = np.minimum(points, points[i]).sum(1)
+        for j in np.flatnonzero((bound >= needed(sizes, sizes[i], 80)) & (group == group[i])).tolist():
+            want[i, j] = int(bound[j])
+    assert got == want and len(forest.levels) > 3 and forest.passed < forest.tested
+
+
+def test_full_coordinates_bound_nothing():
+    points = np.full((2, 16), 65535, np.uint16)
+    sizes = np.array([5_000_000, 4_900_000])
+    forest = CountForest(np.zeros(2, int), points, sizes, Join(groups=16))
+    assert sum(len(q) for q, _, _ in forest.query(np.zeros(2, int), points, sizes)) == 4
+
+
+def test_small_trees_are_trees():
+    forest = CountForest(np.array([0, 1, 1]), np.ones((3, 16), np.uint16), np.full(3, 16), Join(groups=16))
+    assert len(forest.levels) == 2 and len(forest.levels[1][0]) == 2
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, " ".join(words[30_000:])), (4, "short")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1][0] == 59_996
+
+
+def test_salted_tokens_change_nothing(spark):
+    """Every repeated shingle counts as hot."""
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(5000) for _ in range(60)]
+    rows = [(i, " ".join([*base[: i % 4], "x%d" % i, *base[i % 4 + 1 :]])) for i in range(120)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Join(hot=2, block=16)).collect()), key=str)
+    assert got == brute(rows)
 
 
 def test_empty_table(spark):
