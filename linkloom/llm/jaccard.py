@@ -45,7 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
@@ -244,12 +244,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), _binary(held[0][2]), pa.array(held[0][3])], names)
 
 
-def _peeled(shared: DataFrame, how: Join) -> DataFrame:
-    """Without keys that share too few tokens, and then without tokens of a single key."""
+def _enough(shared: DataFrame, how: Join) -> DataFrame:
+    """Rows of keys that share as many tokens as their smallest possible partner needs, with that
+    number as `degree`.  A key has no more rows than its prefix."""
     least = F.expr(f"1 + ({how.percent} * n + 99) div 100 div {how.slack}")
-    enough = shared.groupBy("key").agg(F.count("*").alias("m"), F.any_value("n").alias("n")).where(F.col("m") >= least).select("key")
-    left = shared.join(enough, "key")
-    return left.join(left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token").select("token", "key", "n")
+    return shared.withColumn("degree", F.count("*").over(Window.partitionBy("key"))).where(F.col("degree") >= least)
+
+
+def _met(shared: DataFrame) -> DataFrame:
+    """Rows of tokens that still have two keys."""
+    return shared.join(shared.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "token")
 
 
 def _bit_map(keys: DataFrame, how: Join) -> np.ndarray:
@@ -372,10 +376,8 @@ def _starts(table: pa.Table, group: tuple[str, ...]) -> np.ndarray:
     """First rows of the groups."""
     new = np.ones(table.num_rows, bool)
     new[1:] = False
-    for c in group:
-        x = table.column(c)
-        x = _rows(x, np.uint64, 2) if pa.types.is_binary(x.type) else x.to_numpy().reshape(-1, 1)
-        new[1:] |= (x[1:] != x[:-1]).any(1)
+    for x in (table.column(c).to_numpy() for c in group):
+        new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
 
@@ -393,8 +395,8 @@ def _hub_pairs(how: Join):
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         number, points, sizes, forest = _grown(table, how, ("hub", "chunk"))
-        key = _rows(table.column("key"), np.uint64, 2)
-        asks = np.flatnonzero((_rows(table.column("hub"), np.uint64, 2) == key).all(1))
+        node = table.column("node").to_numpy()
+        asks = np.flatnonzero(table.column("hub").to_numpy() == node)
         out = [(asks[:0], asks[:0], asks[:0] * 0.5)]
         for q, p, bound in forest.query(number[asks], points[asks], sizes[asks]):
             q = asks[q]
@@ -402,7 +404,7 @@ def _hub_pairs(how: Join):
             q, p, bound = q[some], p[some], bound[some]
             out.append((q, p, bound / (sizes[q] + sizes[p])))
         q, p, share = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([_binary(key[q]), _binary(key[p]), pa.array(share)], ["a", "b", "share"])
+        return pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(node[p]), pa.array(share)], ["a", "b", "share"])
 
     return _by_group(emit, "hub", "chunk")
 
@@ -413,22 +415,22 @@ def _survivors(how: Join, best_only: bool):
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         number, points, sizes, forest = _grown(table, how, ("hub", "left", "right"))
-        key, component = (_rows(table.column(c), np.uint64, 2) for c in ("key", "component"))
+        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
         own, across = table.column("own").to_numpy(), table.column("left").to_numpy() != table.column("right").to_numpy()
-        out = [np.zeros((0, 4), np.uint64)]
+        out = [np.zeros((0, 2), np.int64)]
         for q, p, bound in forest.query(number, points, sizes):
-            some = (component[q] != component[p]).any(1) & (~across[q] | (own[q] != own[p]))
+            some = (component[q] != component[p]) & (~across[q] | (own[q] != own[p]))
             q, p, bound = q[some], p[some], bound[some]
             if best_only and len(q):
-                order = np.lexsort((p, -bound / (sizes[q] + sizes[p]), component[p, 1], component[p, 0], q))
+                order = np.lexsort((p, -bound / (sizes[q] + sizes[p]), component[p], q))
                 q, p = q[order], p[order]
-                first = np.append(True, (q[1:] != q[:-1]) | (component[p[1:]] != component[p[:-1]]).any(1))
+                first = np.append(True, (q[1:] != q[:-1]) | (component[p[1:]] != component[p[:-1]]))
                 q, p = q[first], p[first]
             elif not best_only:
                 q, p = q[q < p], p[q < p]
-            out.append(np.concatenate([key[q], key[p]], 1))
+            out.append(np.stack([node[q], node[p]], 1))
         both = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([_binary(both[:, :2]), _binary(both[:, 2:])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return _by_group(emit, "hub", "left", "right")
 
@@ -469,64 +471,72 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
     text = source.select("text")
     tokens = text.mapInArrow(_prefixes(how, rarity), "token long, salt int, key binary, n int")
     met = staged(tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "key").mapInArrow(_shared, "token long, key binary, n int"), "shared")
-    shared = staged(_peeled(_peeled(met, how), how), "peeled")
+    shared = staged(_met(_enough(met, how)).select("token", "key", "n"), "peeled")
     discard(met)
-    degree = shared.groupBy("key").agg(F.count("*").alias("degree"))
-    hub = shared.join(degree, "key").groupBy("token").agg(F.max(F.struct("degree", "key")).alias("hub"))
-    routed = staged(shared.join(hub, "token").select(F.col("hub.key").alias("hub"), "key").distinct(), "routed")
     rarity.unpersist()
     cells = spark.sparkContext.broadcast(_bit_map(shared.select("key").distinct(), how))
-    points = staged(text.mapInArrow(_points(how, cells, False), "key binary, n int, point binary").dropDuplicates(["key"]), "points")
-    discard(shared)
+    points = text.mapInArrow(_points(how, cells, False), "key binary, n int, point binary").dropDuplicates(["key"])
+    # Each class is a node with a number, which is fixed once the table is written.
+    points = staged(points.select(F.monotonically_increasing_id().alias("node"), "key", "n", "point"), "points")
     cells.unpersist()
+    held = staged(_enough(shared.join(points.select("key", "node"), "key"), how).select("token", "node", "degree"), "held")
+    hub = held.groupBy("token").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    routed = staged(held.join(hub, "token").select(F.col("hub.node").alias("hub"), "node").distinct(), "routed")
+    discard(shared, held)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that link, as a table.  Only sets of keys in pairs are made and moved."""
+        """Pairs that link, as a table.  Only sets of nodes in pairs are made and moved."""
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
-        there = spark.sparkContext.broadcast(_bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), how))
-        own = text.mapInArrow(_points(how, there, True), "key binary, shingles binary")
-        own = staged(own.groupBy("key").agg(F.any_value("shingles").alias("shingles")), "sets")
-        a = own.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-        b = own.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        links = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a binary, b binary"), "links")
-        discard(own, pairs)
+        wanted = staged(points.select("node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "wanted")
+        there = spark.sparkContext.broadcast(_bit_map(wanted, how))
+        own = text.mapInArrow(_points(how, there, True), "key binary, shingles binary").join(wanted, "key")
+        own = staged(own.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+        a = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        b = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        links = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(how), "a long, b long"), "links")
+        discard(own, wanted, pairs)
         there.unpersist()
         return links
 
     # Round 1: hubs ask.  Groups of more than a block are cut into chunks, each with the hub.
     large = staged(routed.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > how.block).select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("chunks")), "large")
     chunks = F.coalesce("chunks", F.lit(1))
-    dealt = routed.join(large, "hub", "left").withColumn("chunk", F.explode(F.when(F.col("hub") == F.col("key"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), chunks).cast("int")))))
-    asked = dealt.select("hub", "chunk", "key").join(points, "key").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
-    asked = asked.select("hub", "chunk", "key", "n", "point").mapInArrow(_hub_pairs(how), "a binary, b binary, share double")
+    dealt = routed.join(large, "hub", "left").withColumn("chunk", F.explode(F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))))
+    asked = dealt.select("hub", "chunk", "node").join(points, "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
+    asked = asked.select("hub", "chunk", "node", "n", "point").mapInArrow(_hub_pairs(how), "a long, b long, share double")
     best = asked.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
     links = verified(best)
     found = components(links)
     # Rounds 2 and 3: what the trees let through between components.
     for best_only in (True, False):
-        label = found.withColumnRenamed("node", "key")
-        members = routed.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        members = routed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
         split = staged(split.where("lo <> hi").select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "split")
         if split.isEmpty():
             break
-        cut = members.join(split, "hub").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        cut = cut.select("hub", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "component")
-        cut = cut.join(points, "key").repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "key")
-        cut = cut.select("hub", "left", "right", "own", "key", "component", "n", "point").mapInArrow(_survivors(how, best_only), "a binary, b binary")
+        cut = members.join(split, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        cut = cut.select("hub", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "component")
+        cut = cut.join(points, "node").repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "node")
+        cut = cut.select("hub", "left", "right", "own", "node", "component", "n", "point").mapInArrow(_survivors(how, best_only), "a long, b long")
         more = verified(cut.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
+    label = staged(found.join(points.select("node", "key"), "node").select("key", "component"), "labels")
     discard(routed, points)
-    label = found.select(F.col("node").alias("key"), "component")
-    joined = staged(rows.join(label, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key"))), "labelled")
+    joined = staged(rows.join(label, "key", "left"), "labelled")
     # Written before the join, so that a hot component is split there, or the minima broadcast.
-    least = staged(joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least"), "least")
+    # A class without links is a component of its own, named by its key.
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.col("key")).alias("alone")]
+    least = joined.where("n > 0").groupBy(*group).agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1")
+    linked = staged(least.where("component is not null").select("component", "least"), "least")
+    alone = staged(least.where("component is null").select(F.col("alone").alias("key"), F.col("least").alias("least_alone")), "least_alone")
     discard(scan)
-    return joined.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("class_key"), F.coalesce("least", "doc_id").alias("component_id"))
+    found = joined.join(linked, "component", "left").join(alone, "key", "left")
+    some = F.col("n") > 0
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("key")).alias("class_key"), F.when(some, F.coalesce(F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("least_alone")), "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
