@@ -23,8 +23,9 @@ components of all links between classes.
    that are already connected need no further proof.
 
 Hot groups: a shingle whose sketch count is far above the mean is dealt to several tasks; a group
-of more than `Join.block` points is joined block by block (the hub is sent to every block), in
-tasks of its own; components are combined before they are shuffled.  The sketch and the
+of more than `Join.block` points is cut into chunks with a tree each, in tasks of their own, and
+only points that ask are sent to every chunk: the hub, then those not connected to it yet;
+components are combined before they are shuffled.  The sketch and the
 bit maps have at most 2 ** `map_bits_most` bits; a fuller one filters and orders less well, and
 changes no result.
 
@@ -66,7 +67,7 @@ class Join:
     map_bits_most: int = 28
     slack: int = 25
     leaf: int = 8  # children of a node of the tree
-    block: int = 1024  # points joined in one task
+    block: int = 512  # points of a tree
     hot: int = 50_000  # rows of a shingle in one task
 
 
@@ -381,58 +382,60 @@ def _starts(table: pa.Table, group: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _grown(table: pa.Table, how: Join, group: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, CountForest]:
-    first = _starts(table, group)
-    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+def _asked(table: pa.Table, how: Join) -> tuple[np.ndarray, np.ndarray, Iterator]:
+    """Of rows sorted by (hub, chunk), those that ask query the tree of their chunk's other rows:
+    nodes, sizes, and parts of (row that asks, row found, bound)."""
+    node, sizes = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64)
     points = _rows(table.column("point"), np.uint16, how.groups)
-    sizes = table.column("n").to_numpy().astype(np.int64)
-    return number, points, sizes, CountForest(number, points, sizes, how)
+    first = _starts(table, ("hub", "chunk"))
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    held, asks = np.flatnonzero(~asks), np.flatnonzero(asks)
+    there, group = np.unique(number[held], return_inverse=True)
+    asks = asks[np.isin(number[asks], there)]
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(asks):
+            forest = CountForest(group, points[held], sizes[held], how)
+            for q, p, bound in forest.query(np.searchsorted(there, number[asks]), points[asks], sizes[asks]):
+                yield asks[q], held[p], bound
+
+    return node, sizes, found()
 
 
 def _hub_pairs(how: Join):
-    """(a, b, share): what each group's hub finds in the group's tree, with the bound's share of
-    both sizes; rows are sorted by (hub, chunk)."""
+    """(a, b, share): what each hub finds in the trees of its group, with the bound's share of both
+    sizes."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
-        number, points, sizes, forest = _grown(table, how, ("hub", "chunk"))
-        node = table.column("node").to_numpy()
-        asks = np.flatnonzero(table.column("hub").to_numpy() == node)
-        out = [(asks[:0], asks[:0], asks[:0] * 0.5)]
-        for q, p, bound in forest.query(number[asks], points[asks], sizes[asks]):
-            q = asks[q]
-            some = q != p
-            q, p, bound = q[some], p[some], bound[some]
-            out.append((q, p, bound / (sizes[q] + sizes[p])))
-        q, p, share = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(node[p]), pa.array(share)], ["a", "b", "share"])
+        node, sizes, parts = _asked(table, how)
+        none = np.zeros(0, np.int64)
+        q, p, bound = (np.concatenate(c) for c in zip((none, none, none), *parts))
+        return pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(node[p]), pa.array(bound / (sizes[q] + sizes[p]))], ["a", "b", "share"])
 
     return _by_group(emit, "hub", "chunk")
 
 
 def _survivors(how: Join, best_only: bool):
-    """Pairs (a, b) of different components that the trees let through, of rows sorted by group
-    (hub, left, right); of each point and other component the best one if `best_only`."""
+    """Pairs (a, b) of different components that the trees let through; of each row that asks and
+    other component in the chunk the best one if `best_only`."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
-        number, points, sizes, forest = _grown(table, how, ("hub", "left", "right"))
-        node, component = (table.column(c).to_numpy() for c in ("node", "component"))
-        own, across = table.column("own").to_numpy(), table.column("left").to_numpy() != table.column("right").to_numpy()
-        out = [np.zeros((0, 2), np.int64)]
-        for q, p, bound in forest.query(number, points, sizes):
-            some = (component[q] != component[p]) & (~across[q] | (own[q] != own[p]))
+        node, sizes, parts = _asked(table, how)
+        component, out = table.column("component").to_numpy(), [np.zeros((0, 2), np.int64)]
+        for q, p, bound in parts:
+            some = component[q] != component[p]
             q, p, bound = q[some], p[some], bound[some]
             if best_only and len(q):
                 order = np.lexsort((p, -bound / (sizes[q] + sizes[p]), component[p], q))
                 q, p = q[order], p[order]
                 first = np.append(True, (q[1:] != q[:-1]) | (component[p[1:]] != component[p[:-1]]))
                 q, p = q[first], p[first]
-            elif not best_only:
-                q, p = q[q < p], p[q < p]
             out.append(np.stack([node[q], node[p]], 1))
         both = np.concatenate(out)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return _by_group(emit, "hub", "left", "right")
+    return _by_group(emit, "hub", "chunk")
 
 
 def _verify(how: Join):
@@ -500,26 +503,32 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
         there.unpersist()
         return links
 
-    # Round 1: hubs ask.  Groups of more than a block are cut into chunks, each with the hub.
-    large = staged(routed.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > how.block).select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("chunks")), "large")
-    chunks = F.coalesce("chunks", F.lit(1))
-    dealt = routed.join(large, "hub", "left").withColumn("chunk", F.explode(F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))))
-    asked = dealt.select("hub", "chunk", "node").join(points, "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk")
-    asked = asked.select("hub", "chunk", "node", "n", "point").mapInArrow(_hub_pairs(how), "a long, b long, share double")
+    def dealt(members: DataFrame, asks, how_many) -> DataFrame:
+        """Members of each group in chunks of about a block, and those that ask once more in every chunk."""
+        chunk = F.pmod(F.xxhash64("node"), how_many).cast("int")
+        own = F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("asks")))
+        every = F.transform(F.sequence(F.lit(0), how_many - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("asks")))
+        rows = members.withColumn("at", F.explode(F.when(asks, F.concat(own, every)).otherwise(own))).select("hub", "at.*", *(c for c in members.columns if c in ("node", "component")))
+        return rows.join(points.drop("key"), "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "node")
+
+    blocks = lambda m: F.ceil(F.col(m) / how.block).cast("int")
+    # Round 1: hubs ask.
+    large = staged(routed.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > how.block).select("hub", blocks("m").alias("chunks")), "large")
+    asked = dealt(routed.join(large, "hub", "left"), F.col("hub") == F.col("node"), F.coalesce("chunks", F.lit(1)))
+    asked = asked.select("hub", "chunk", "asks", "node", "n", "point").mapInArrow(_hub_pairs(how), "a long, b long, share double").where("a <> b")
     best = asked.groupBy("b").agg(F.max(F.struct("share", "a")).alias("best")).select(F.least("b", "best.a").alias("a"), F.greatest("b", "best.a").alias("b")).distinct()
     links = verified(best)
     found = components(links)
-    # Rounds 2 and 3: what the trees let through between components.
+    # Rounds 2 and 3: what the trees let through between components.  Who is connected to the hub
+    # has no need to ask: the others ask for it.
     for best_only in (True, False):
         members = routed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
-        split = staged(split.where("lo <> hi").select("hub", F.ceil(F.col("m") / how.block).cast("int").alias("blocks")), "split")
+        split = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("hub") == F.col("node"), F.col("component"))).alias("common"), F.count("*").alias("m"))
+        split = staged(split.where("lo <> hi").select("hub", "common", blocks("m").alias("chunks")), "split")
         if split.isEmpty():
             break
-        cut = members.join(split, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        cut = cut.select("hub", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "component")
-        cut = cut.join(points, "node").repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "node")
-        cut = cut.select("hub", "left", "right", "own", "node", "component", "n", "point").mapInArrow(_survivors(how, best_only), "a long, b long")
+        cut = dealt(members.join(split, "hub"), F.col("component") != F.col("common"), F.col("chunks"))
+        cut = cut.select("hub", "chunk", "asks", "node", "component", "n", "point").mapInArrow(_survivors(how, best_only), "a long, b long")
         more = verified(cut.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             links = links.union(more)
