@@ -5,8 +5,11 @@ greedily into the longest phrases that occur in a language's sample; the languag
 that needs the fewest phrases, normalised by phrase cost and length, wins.
 
 The sample is bounded (`Settings.train_chars` characters a language, from
-texts in hash order of the id, long ones last and cut; `Settings.alphabet` letters over all
-languages, others share one code); everything else covers whole texts.  Prediction is
+texts in hash order of the id, long ones last and cut).  Every language has an alphabet of its
+own: the commonest letters of its sample get a code each, the rarer ones (of a script of
+thousands of signs, say) share the last `Settings.shared` codes by code point, and letters that
+the sample lacks always begin a new phrase.  So a script of one language takes no code from
+another's, and the step tables stay bounded.  Everything else covers whole texts.  Prediction is
 row by row inside each partition.  Parsing runs in numpy over many stretches of
 text at once; a stretch is `Settings.stretch` characters, so a text of any length
 is parsed completely in bounded steps.
@@ -32,7 +35,7 @@ from linkloom.llm import _bytes as B
 
 UND = "und"
 GAP = 0  # code of whatever is not a letter
-OTHER = 1  # code of a letter outside the alphabet
+ABSENT = 1  # code of a letter that the sample lacks
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,8 @@ class Settings:
     train_chars: int = 16_000
     train_texts: int = 64
     longest_train_text: int = 4_000
-    alphabet: int = 94
+    alphabet: int = 94  # codes of letters, the shared ones included
+    shared: int = 32
     stretch: int = 256
     slice_bytes: int = 2 << 20
     sharpness: float = 24.0
@@ -115,32 +119,43 @@ class Parser:
     def __init__(self, samples: dict[str, str], settings: Settings):
         self.settings = settings
         self.languages = list(samples)
-        seen = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        letters = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: settings.alphabet])
-        self.letters = len(letters) + 2
-        self.code = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        for k, c in enumerate(letters):
-            self.code[ord(c)] = k + 2
-            if len(c.upper()) == 1:
-                self.code[ord(c.upper())] = k + 2
-        self.tables, self.cost = [], []
+        self.letters = settings.alphabet + 2
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        self.codes, self.tables, self.cost = [], [], []
         for text in samples.values():
-            codes = self.encode(text)
-            self.tables.append(automaton(codes.tolist(), self.letters))
-            self.cost.append(np.log2(max(len(codes), 2)))
-
-    def encode(self, text: str) -> np.ndarray:
-        codes = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        return codes[np.append(True, (codes[1:] != GAP) | (codes[:-1] != GAP))] if len(codes) else codes
+            code = self.alphabet(text)
+            own = code[self.signs(text)]
+            self.codes.append(code)
+            self.tables.append(automaton(own.tolist(), self.letters))
+            self.cost.append(np.log2(max(len(own), 2)))
+
+    def alphabet(self, text: str) -> np.ndarray:
+        """The code of every code point in the language of a sample."""
+        how, code = self.settings, np.where(self.letter, ABSENT, GAP).astype(np.uint8)
+        seen = Counter(c for c in text.lower() if c.isalpha())
+        ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        single = how.alphabet if len(ranked) <= how.alphabet else how.alphabet - how.shared
+        for k, c in enumerate(ranked):
+            value = 2 + (k if k < single else single + ord(c) % how.shared)
+            for x in {c, c.upper()}:
+                if len(x) == 1:
+                    code[ord(x)] = value
+        return code
+
+    def signs(self, text: str) -> np.ndarray:
+        """Code points, each run of what is no letter as one 0."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(self.letter[points], points, 0)
+        return points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))] if len(points) else points
 
     def predict(self, texts: B.Texts) -> tuple[list[str], np.ndarray]:
         n = texts.hi - texts.lo
         raw = texts.buf.tobytes()
-        parts = [self.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist())]
+        parts = [self.signs(raw[a:b].decode("utf-8", "replace")) for a, b in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist())]
         sizes = np.fromiter(map(len, parts), np.int64, n)
-        seq = np.concatenate(parts) if n else np.zeros(0, np.uint8)
+        seq = np.concatenate(parts) if n else np.zeros(0, np.uint32)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        lettered = B.per_text(seq != GAP, at) > 0
+        lettered = B.per_text(seq != 0, at) > 0
         score = np.zeros(n)
         if not self.languages:
             return [UND] * n, score
@@ -156,13 +171,14 @@ class Parser:
         costs = np.empty((len(self.languages), n))
         states = [np.full(len(owner), len(table) - self.letters, np.int32) for table in self.tables]  # the dead state
         phrases = [np.zeros(len(owner), np.int32) for _ in self.languages]
+        coded = [code[seq] for code in self.codes]
         for t in range(step):
             k = int(active[t])
             if not k:
                 break
-            c = seq[begin[:k] + t]
-            for table, state, count in zip(self.tables, states, phrases):
-                to = table[state[:k] + c]
+            place = begin[:k] + t
+            for codes, table, state, count in zip(coded, self.tables, states, phrases):
+                to = table[state[:k] + codes[place]]
                 count[:k] += to & 1
                 state[:k] = to >> 1
         for i, count in enumerate(phrases):

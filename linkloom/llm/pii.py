@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -33,6 +33,18 @@ KINDS = ("email", "ip", "card", "phone", "secret", "name")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _BASE = KINDS[:4]
 
+
+def _ranges(chars: Iterable[str]) -> str:
+    """Characters in ascending order as the inside of a character class."""
+    runs: list[list[int]] = []
+    for i in map(ord, chars):
+        if runs and i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -42,7 +54,10 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{
 _GROUPED = re.compile(r"[0-9][0-9 ().-]{7,28}[0-9]")
 _ASSIGN = re.compile(r"""[=:][ \t]{0,2}["']?""")
 _VALUE = re.compile(r"[A-Za-z0-9_/+=.-]{12,}")
-_NAME = re.compile(r"[A-Z][a-z]{1,20}(?= ([A-Z][a-z]{1,20}))")
+#: Capital and small letters of all alphabets that have both, as ranges of code points.
+_CAPITAL, _SMALL = (_ranges(c for c in map(chr, range(0x20, 0x10000)) if test(c)) for test in (str.isupper, str.islower))
+_WORD = f"[{_CAPITAL}][{_SMALL}]{{1,20}}"
+_NAME = re.compile(f"(?<![{_CAPITAL}{_SMALL}]){_WORD}(?= ({_WORD}))")
 _TITLE = re.compile(r"(?:\b(?:mr|mrs|ms|dr|prof|sir|madame|herr|frau|señor|señora|sr|sra)\.? |\b(?:name is|i am|contact|signed|regards|author)\W{1,3})$", re.I)
 #: Cue words of each kind, looked for in the 32 characters before a candidate.
 _CUES = {
@@ -53,9 +68,9 @@ _CUES = {
     "secret": re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|auth\w*|bearer)\W*$", re.I),
     "name": _TITLE,
 }
-#: Gazetteers (short public lists).
+#: Gazetteers (short public lists); `spans`, `fit`, `detect` and `redact` take other given names.
 _SUFFIXES = frozenset("com org net edu gov mil int info biz io co de fr es uk us eu it nl ch at be ca au jp cn in br ru".split())
-_GIVEN = frozenset("""james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen
+GIVEN = frozenset("""james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen
 daniel matthew anthony mark paul steven andrew george emily emma olivia sophia anna laura julia maria carmen ana jose juan carlos luis javier antonio manuel pedro miguel
 pierre jean michel philippe nicolas marie nathalie isabelle catherine sophie camille hans peter klaus wolfgang jürgen stefan andreas thomas sabine monika petra claudia""".split())
 
@@ -111,7 +126,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], _RANK[s[1]]))
 
 
-def _pattern(text: str, a: int, kind: str, b: int) -> str:
+def _pattern(text: str, a: int, kind: str, b: int, given: frozenset[str]) -> str:
     """The labelers' votes: shape, validity, gazetteer, context, boundary; + 0 -."""
     s = text[a:b]
     d = _digits(s)
@@ -138,7 +153,7 @@ def _pattern(text: str, a: int, kind: str, b: int) -> str:
         gazette = 1 if re.fullmatch(r"[0-9a-fA-F]{32,64}", s) else 0
     else:
         shape, valid = 1, 0
-        gazette = 1 if s.split(" ")[0].lower() in _GIVEN else -1
+        gazette = 1 if s.split(" ")[0].lower() in given else -1
     cue = 1 if _CUES[kind].search(before) else -1 if kind in ("secret", "name") else 0
     edge = -1 if left.isalnum() and kind != "email" or right.isalnum() else 1
     votes = "".join("-0+"[v + 1] for v in (shape, valid, gazette, cue, edge))
@@ -146,10 +161,10 @@ def _pattern(text: str, a: int, kind: str, b: int) -> str:
     return f"{kind}|{votes}|{size}|{min(3, 4 * len(d) // max(len(s), 1))}"
 
 
-def spans(text: str) -> list[Span]:
-    """Base spans and further candidates that overlap no base span."""
+def spans(text: str, given: frozenset[str] = GIVEN) -> list[Span]:
+    """Base spans, then further candidates that overlap no base span; both by start."""
     base = base_spans(text)
-    found = [Span(a, k, b, True, _pattern(text, a, k, b)) for a, k, b in base]
+    found = [Span(a, k, b, True, _pattern(text, a, k, b, given)) for a, k, b in base]
     more: list[tuple[int, str, int]] = []
     for m in _GROUPED.finditer(text):
         d = _digits(m[0])
@@ -166,7 +181,7 @@ def spans(text: str) -> list[Span]:
         if v := _VALUE.match(text, m.end()):
             more.append((v.start(), "secret", v.end()))
     for m in _NAME.finditer(text):
-        if m[0].lower() in _GIVEN or _TITLE.search(text[max(0, m.start() - 32) : m.start()]):
+        if m[0].lower() in given or _TITLE.search(text[max(0, m.start() - 32) : m.start()]):
             more.append((m.start(), "name", m.end(1)))
     if more:
         taken, i = sorted((a, b) for a, _, b in base), 0
@@ -174,7 +189,7 @@ def spans(text: str) -> list[Span]:
             while i < len(taken) and taken[i][1] <= a and (i + 1 == len(taken) or taken[i + 1][0] <= a):
                 i += 1
             if not any(x < b and a < y for x, y in taken[max(0, i - 3) : i + 4]):
-                found.append(Span(a, k, b, False, _pattern(text, a, k, b)))
+                found.append(Span(a, k, b, False, _pattern(text, a, k, b, given)))
     return found
 
 
@@ -248,7 +263,7 @@ def _steps(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, text_col: str = "text", given: frozenset[str] = GIVEN) -> Model:
     """Counts the patterns of all candidates of all texts and fits the model to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +271,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         for batch in batches:
             for part in _steps(batch):
                 for text in _strings(part.column(0)):
-                    counts.update(s.pattern for s in spans(text))
+                    counts.update(s.pattern for s in spans(text, given))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
@@ -267,7 +282,7 @@ def _joined(found: list) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(found, key=lambda s: (s.start, _RANK[s.kind], s.end)))
 
 
-def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", given: frozenset[str] = GIVEN) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of base spans; spans of all."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -277,7 +292,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in _steps(batch):
                 out: list[list] = [[] for _ in range(6)]
                 for text in _strings(part.column(1)):
-                    found = [s for s in spans(text) if model.accepts(s)]
+                    found = [s for s in spans(text, given) if model.accepts(s)]
                     base = [s for s in found if s.base]
                     row = [*(sum(s.kind == k for s in base) for k in _BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)]
                     for column, v in zip(out, row):
@@ -288,7 +303,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Model, text_col: str = "text", given: frozenset[str] = GIVEN) -> DataFrame:
     """The same rows and columns, each found span replaced by its kind in angle brackets.
     Overlapping spans are replaced together, by the first one's kind; null stays null."""
     at = docs.columns.index(text_col)
@@ -299,7 +314,7 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out: list[str | None] = []
                 for text, there in zip(_strings(part.column(at)), part.column(at).is_valid().to_pylist()):
                     parts, done, reach = [], 0, 0
-                    for s in sorted((s for s in spans(text) if model.accepts(s)), key=lambda s: (s.start, _RANK[s.kind])):
+                    for s in sorted((s for s in spans(text, given) if model.accepts(s)), key=lambda s: (s.start, _RANK[s.kind])):
                         if s.start >= reach:
                             parts += [text[done : s.start], f"<{s.kind}>"]
                         done = reach = max(reach, s.end)

@@ -36,7 +36,6 @@ class Limits:
 
     ngram: dict[int, float] = field(default_factory=lambda: {5: 0.20, 7: 0.18, 10: 0.16})
     line_chars: float = 0.25
-    symbols_per_word: float = 0.3
     min_words: int = 10
     repeat_percent: int = 20
 
@@ -91,7 +90,6 @@ def measure(texts: B.Texts, limits: Limits) -> dict[str, np.ndarray]:
             over |= share > limits.ngram[n]
     out["n_repeat_words"] = B.per_text(repeat, words.first)
     out["base_failed"] = (n_words < limits.min_words) | (100 * out["n_repeat_words"] > limits.repeat_percent * n_words)
-    over |= out["n_symbols"] > limits.symbols_per_word * n_words
     out["kept"] = ~out["base_failed"] & ~over
     return out
 

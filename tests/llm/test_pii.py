@@ -63,7 +63,7 @@ def test_em_prefers_agreeing_labelers():
     model = fit_counts({"card|+++++|1|3": 400, "card|---0-|1|3": 400, "card|+-+++|1|3": 10, "card|-+-0-|1|3": 10})
     assert model.probability["card|+++++|1|3"] > 0.9 > 0.5 > model.probability["card|---0-|1|3"]
     assert all(0.5 < r for r in model.reliability["card"][:3])
-    assert [s.kind for s in spans("Contact Maria Lopez today, card no 4111 1111 1111 1112")] == ["card", "name"]
+    assert [s.kind for s in spans("Contact Maria Lopez today, card no 4111 1111 1111 1112")] == ["name", "card"]
 
 
 def test_phones_inside_longer_runs_and_long_secrets():
@@ -72,3 +72,12 @@ def test_phones_inside_longer_runs_and_long_secrets():
     assert found("555-123-4567 555-987-6543 555-222-3333") == [("phone", x) for x in ("555-123-4567", "555-987-6543", "555-222-3333")]
     assert found("(555) 123-4567 10") == [("phone", "(555) 123-4567")]
     assert found("token=" + "a1B2" * 200) == [("secret", "a1B2" * 200)]
+
+
+def test_names_of_any_alphabet_and_other_gazetteers():
+    found = lambda text, **k: [(s.kind, text[s.start : s.end]) for s in spans(text, **k)]
+    assert found("Contact Jürgen Müller") == [("name", "Jürgen Müller")]
+    assert found("José García") == [] and found("Dear Mr José García") == [("name", "José García")]
+    assert found("José García", given=frozenset({"josé"})) == [("name", "José García")]
+    assert found("signed Ольга Иванова") == [("name", "Ольга Иванова")]
+    assert found("mcMaria Lopez") == []
