@@ -10,7 +10,7 @@ from linkloom.llm import sql
 from linkloom.llm.decontaminate import op10_prefix_decontamination
 from linkloom.llm.jaccard import op7_count_tree_join
 from linkloom.llm.language import op3_cross_parsing_language
-from linkloom.llm.licenses import op2_license_scan
+from linkloom.llm.licenses import NOTICES, op2_license_scan
 from linkloom.llm.mixing import op9_soft_membership_mixing
 from linkloom.llm.pii import op4_weak_supervision_pii
 from linkloom.llm.quality import op6_pairwise_quality
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": sql.op2(NOTICES),
+    "op5_repetition_coverage": sql.OP5,
     "op7_count_tree_join": sql.OP7,
     "op10_prefix_decontamination": sql.OP10,
 }
