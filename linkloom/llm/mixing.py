@@ -23,6 +23,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 import string
 from dataclasses import dataclass
@@ -142,7 +143,9 @@ def rate(steps: list[list[float]]) -> Column:
 
 def fit_rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...], how: Settings = Settings()) -> list[list[float]]:
     """Gradient steps that bring the expected domain totals of members(tokens, posterior) to
-    the targets' shares of all tokens."""
+    the targets' shares of all tokens.  Warns where `rounds` of them leave a larger residual than
+    `tolerance`; targets that no nonnegative rates reach (a domain without documents) are met as
+    closely as least squares can."""
     goal = [targets[d] / sum(targets.values()) for d in domains]
     steps: list[list[float]] = []
     share: list[float] = []
@@ -157,6 +160,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: tuple[str,
         if max(map(abs, residual)) <= how.tolerance:
             break
         steps.append([round(r / s, 12) for r, s in zip(residual, share)])
+    else:
+        logging.getLogger(__name__).warning("after %d rounds the largest residual is %.2g of all tokens (tolerance %.2g): %s", how.rounds, max(map(abs, residual)), how.tolerance, dict(zip(domains, residual)))
     return steps[: how.rounds]
 
 

@@ -6,17 +6,22 @@ bits, and joined to earlier messages of the conversation whose whole text, parag
 has the same hash.  The message quoted at the outermost level becomes the parent; a whole
 passage counts before a line and a later message before an earlier one.  A message without
 a found quotation replies to the message before it.  The result has each message without
-quotes, its parent and its chat turn; ordered by conversation and turn, every parent comes
-before its replies.
+quotes, its parent and its chat turn, and its place in the reply tree: the turn of the thread's
+first message, the number of replies from there, and the turn at which its branch left the
+order of turns.  Ordered by conversation, thread, branch and turn, a branch is read from its
+first message to its last, and every parent comes before its replies.
 
 The join asks, for a hash and a turn, for the latest original before that turn.  Questions
 and originals are reduced to distinct (conversation, hash, turn) first and answered in
 stretches of `Settings.stretch` turns, so neither a very long conversation nor a line that
-all messages share makes pairs or lands in one task; no conversation is ever collected.
+all messages share makes pairs or lands in one task; no conversation is ever collected.  Reply
+trees are climbed by doubling, in as many joins as the longest chain has binary digits; each
+message asks for one ancestor, so a step has as many rows as there are turns.
 
 Null text counts as empty.  Null conversation ids form one conversation.  Messages without a
-turn have no place: they get no parent and are nobody's parent.  Repeated rows, and messages
-that share a turn, each get a row and the same treatment.  Extra columns are ignored; an
+turn have no place: they get no parent, thread or branch and are nobody's parent.  Repeated rows,
+and messages that share a turn, each get a row and the same treatment; in the tree, a shared turn
+stands once, under the earliest parent of its messages.  Extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm._stage import staged
+from linkloom.llm._stage import discard, staged
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 _INTRO = re.compile(r"^(?:on|le|am|el)\b.{0,200}(?:wrote|écrit|schrieb|escribió)\s*:?\s*$", re.I)
@@ -94,8 +99,24 @@ def _latest_before(asked: DataFrame, originals: DataFrame, how: Settings) -> Dat
     return found.select("conv", "hash", "turn", F.coalesce("near", "carried").alias("parent")).where("parent is not null")
 
 
+def reply_tree(turns: DataFrame) -> DataFrame:
+    """turns(conv, turn, up, before) with thread (the first turn above), depth (replies from there)
+    and branch: the turn at or above this one that does not follow the turn before it."""
+    at = F.when(F.col("up").isNull() | ~F.col("up").eqNullSafe(F.col("before")), F.col("turn"))  # a branch starts here
+    state = staged(turns.select("conv", "turn", "up", F.col("turn").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), at.alias("branch")), "tree")
+    while not state.where("up is not null").isEmpty():
+        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("branch").alias("branch2"))
+        step = state.join(above, ["conv", "up"], "left")
+        climbed = F.col("up").isNotNull()
+        step = step.select("conv", "turn", F.when(climbed, F.col("up2")).alias("up"), F.when(climbed, F.col("top2")).otherwise(F.col("top")).alias("top"), (F.col("depth") + F.when(climbed, F.col("depth2")).otherwise(0)).alias("depth"), F.coalesce("branch", "branch2").alias("branch"))
+        last, state = state, staged(step, "tree")
+        discard(last)
+    return state.select("conv", "turn", F.col("top").alias("thread"), "depth", "branch")
+
+
 def link_quotations(messages: DataFrame, how: Settings = Settings()) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quotes, parent_turn, by_quote, chat."""
+    """conv_id, turn, role, text (without quotes), n_quotes, parent_turn, by_quote, chat, thread,
+    depth, branch."""
     source = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("conv", F.xxhash64("conv_id")).withColumn("message", F.xxhash64("conv_id", "turn", "role", "text"))
     schema = f"conv_id {source.schema['conv_id'].dataType.simpleString()}, turn long, role string, conv long, message long, own string, n_quotes int, units array<struct<level:int,rank:int,hash:binary>>"
@@ -122,12 +143,17 @@ def link_quotations(messages: DataFrame, how: Settings = Settings()) -> DataFram
     found = parsed.join(best, "message", "left")
     chat = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own"), F.lit("\n"))
     by_quote = F.coalesce(F.col("best.rank") < 2, F.lit(False))
-    return found.select("conv_id", "turn", "role", F.col("own").alias("text"), "n_quotes", (-F.col("best.back")).alias("parent_turn"), by_quote.alias("by_quote"), chat.alias("chat"))
+    before = answers.where(F.col("hash") == F.lit(b"")).select("conv", "turn", F.col("parent").alias("before"))
+    found = staged(found.select("conv_id", "turn", "role", F.col("own").alias("text"), "n_quotes", (-F.col("best.back")).alias("parent_turn"), by_quote.alias("by_quote"), chat.alias("chat"), "conv"), "linked")
+    turns = found.where("turn is not null").groupBy("conv", "turn").agg(F.min("parent_turn").alias("up")).join(before, ["conv", "turn"], "left")
+    return found.join(reply_tree(turns), ["conv", "turn"], "left").select("conv_id", "turn", "role", "text", "n_quotes", "parent_turn", "by_quote", "chat", "thread", "depth", "branch")
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
-    """Rows ordered by conversation and turn across range partitions, parents before replies."""
-    return linked.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    """Rows ordered by conversation, thread, branch and turn across range partitions: every branch
+    in one piece, and parents before replies."""
+    order = ("conv_id", "thread", "branch", "turn")
+    return linked.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,20 @@ def test_gradient_equals_numpy_and_projects(spark):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "good words"), (3, "good words"), (None, "bad | words"), (4, "word " * 100_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tokens0", "2 as rate0", "3 as _words0")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tokens", "2 as rate", "3 as _words", "4 as posterior", "5 as domain")
     labels = spark.createDataFrame([(3, "clean"), (3, "toxic"), (4, None), (None, "junk"), (2, "junk")], "doc_id long, domain string")
     for known in (labels, labels.limit(0)):
         got = mix(docs, known).collect()
         assert sorted((r.doc_id or 0, r.tokens) for r in got) == [(0, 3), (1, 0), (2, 0), (3, 2), (3, 2), (4, 100_000)]
         assert all(r.rate >= 0 and len(r.posterior) == 3 for r in got)
     assert mix(docs.limit(0), labels).count() == 0
-    assert classify(docs, Classifier(("x",), (0.0,), {})).where(F.get("posterior", F.lit(0)) != 1).count() == 0
+    assert classify(docs.select("doc_id", "text"), Classifier(("x",), (0.0,), {})).where(F.get("posterior", F.lit(0)) != 1).count() == 0
+
+
+def test_targets_out_of_reach_are_told(spark, caplog):
+    docs = spark.createDataFrame([(10, [1.0, 0.0])], "tokens long, posterior array<double>")
+    steps = fit_rates(docs, {"a": 0.5, "b": 0.5}, ("a", "b"), Settings(rounds=5))
+    assert len(steps) == 5 and "after 5 rounds" in caplog.text
+    caplog.clear()
+    fit_rates(docs, {"a": 1.0, "b": 0.0}, ("a", "b"), Settings(rounds=5))
+    assert not caplog.text

@@ -1,6 +1,6 @@
 import random
 
-from linkloom.llm.quotes import Settings, link_quotations, normal, op8_quotation_linking, parse
+from linkloom.llm.quotes import Settings, in_reply_order, link_quotations, normal, op8_quotation_linking, parse
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,6 +36,35 @@ def brute(rows, line_words=3):
     return sorted(out, key=str)
 
 
+def trees(found):
+    """(conv, turn) -> (thread, depth, branch) by climbing from every turn."""
+    up = {}
+    for conv, turn, _, parent, _ in found:
+        if turn is not None:
+            up.setdefault((conv, turn), []).append(parent)
+    out = {}
+    for conv, turn in up:
+        t, depth, branch = turn, 0, None
+        while True:
+            parents = [p for p in up[conv, t] if p is not None]
+            before = max((x for c, x in up if c == conv and x < t), default=None)
+            parent = min(parents, default=None)
+            if branch is None and (parent is None or parent != before):
+                branch = t
+            if parent is None:
+                break
+            t, depth = parent, depth + 1
+        out[conv, turn] = (t, depth, branch)
+    return out
+
+
+def check_trees(df):
+    rows = df.collect()
+    want = trees([(r.conv_id, r.turn, r.text, r.parent_turn, r.by_quote) for r in rows])
+    for r in rows:
+        assert (r.thread, r.depth, r.branch) == (want[r.conv_id, r.turn] if r.turn is not None else (None, None, None))
+
+
 def rows_of(df):
     return sorted(((r.conv_id, r.turn, r.text, r.parent_turn, r.by_quote) for r in df.collect()), key=str)
 
@@ -65,6 +94,11 @@ def test_links_match_brute_force(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 as message", "2 as hash", "3 as parent_turn")
     assert rows_of(link_quotations(df)) == brute(rows)
     assert rows_of(link_quotations(df, Settings(stretch=3))) == brute(rows)
+    check_trees(link_quotations(df))
+    seen = set()
+    for r in in_reply_order(link_quotations(df)).collect():  # parents come before replies
+        assert r.parent_turn is None or (r.conv_id, r.parent_turn) in seen
+        seen.add((r.conv_id, r.turn))
     assert link_quotations(df.limit(0)).count() == 0
 
 
@@ -72,5 +106,6 @@ def test_whole_table_matches_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     found = op8_quotation_linking(spark, SF)
     assert rows_of(found) == brute(rows)
-    keys = [(r.conv_id, r.turn) for r in found.select("conv_id", "turn").collect()]
+    check_trees(found)
+    keys = [(r.conv_id, r.thread, r.branch, r.turn) for r in found.collect()]
     assert keys == sorted(keys)
