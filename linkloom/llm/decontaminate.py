@@ -71,8 +71,8 @@ def _tokens(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, items: DataFrame, how: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and
-    spans (start, length in words) of the windows found."""
+    """One row per document: doc_id, text_hash (xxhash64), n_words, n_hit, n_items, items_sha256,
+    contaminated, and spans (start, length in words) of the windows found."""
     wins = staged(windows(items, how).withColumn("k", F.least(F.size("words"), F.lit(how.shingle))), "windows")
     sizes = [r.k for r in wins.select("k").distinct().orderBy(F.desc("k")).limit(how.shingle).collect()] or [how.shingle]
     token = F.lit(None).cast("long")
@@ -101,7 +101,7 @@ def find_windows(docs: DataFrame, items: DataFrame, how: Settings = Settings())
     found = hits.groupBy("doc_id", "text_hash", "n_words").agg(F.count_if("itself").cast("int").alias("_rows"), F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("_items"))
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.length - 1))))
     found = found.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-    return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
+    return found.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

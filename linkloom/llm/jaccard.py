@@ -130,13 +130,14 @@ def _rows(column: pa.Array, kind, width: int) -> np.ndarray:
 
 
 def _scan(how: Join):
-    """Rows (doc_id, n, key, -, -) of texts, then the task's sketch as rows (-, -, -, block, counts)."""
+    """Rows (doc_id, text_hash, n, key, -, -) of (doc_id, text, text_hash), then the task's sketch as
+    rows (-, -, -, -, block, counts)."""
     blocks, size = 64, (1 << how.sketch_bits) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(blocks * size, np.uint32), pa.int64()
         met = np.zeros(1 << how.met_bits, bool)
-        names = ["doc_id", "n", "key", "block", "counts"]
+        names = ["doc_id", "text_hash", "n", "key", "block", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for texts in B.slices(batch.column(1)):
@@ -148,10 +149,10 @@ def _scan(how: Join):
                 met[cell] = True
                 sketch += np.bincount((again >> np.uint64(64 - how.sketch_bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
                 m = texts.hi - texts.lo
-                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], pa.array(np.diff(first)), _binary(set_keys(flat, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], batch.column(2)[texts.lo : texts.hi], pa.array(np.diff(first)), _binary(set_keys(flat, first)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if sketch.any():
             counts = np.minimum(sketch, 65535).astype(np.uint16).reshape(blocks, size)
-            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kind), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()), pa.array(np.arange(blocks), pa.int32()), _binary(counts)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(blocks, kind), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.int64()), pa.nulls(blocks, pa.binary()), pa.array(np.arange(blocks), pa.int32()), _binary(counts)], names)
 
     return run
 
@@ -457,7 +458,8 @@ def _verify(how: Join):
 
 
 def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_key (equal sets), component_id.  All steps
+    """One row per input row: doc_id, text_hash (xxhash64), n_shingles, class_key (equal sets),
+    component (a name, null for empty sets) and component_id (its smallest doc_id).  All steps
     in Python are written here and now, with small Arrow batches; the result reads tables only."""
     with small_batches(docs.sparkSession):
         return _components(docs, how, id_col, text_col)
@@ -465,10 +467,10 @@ def jaccard_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_i
 
 def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scan = staged(source.mapInArrow(_scan(how), f"doc_id {kind}, n long, key binary, block int, counts binary"), "scan")
-    rows = scan.where("block is null").select("doc_id", "n", "key")
+    scan = staged(source.mapInArrow(_scan(how), f"doc_id {kind}, text_hash long, n long, key binary, block int, counts binary"), "scan")
+    rows = scan.where("block is null").select("doc_id", "text_hash", "n", "key")
     order = _rarity(scan, how)
     rarity = spark.sparkContext.broadcast((order, _salts(order, how)))
     text = source.select("text")
@@ -545,7 +547,8 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
     discard(scan)
     found = joined.join(linked, "component", "left").join(alone, "key", "left")
     some = F.col("n") > 0
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("key")).alias("class_key"), F.when(some, F.coalesce(F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("least_alone")), "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    group = F.when(some, F.coalesce(F.col("component").cast("string"), F.hex("key")))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(some, F.col("key")).alias("class_key"), group.alias("component"), F.when(some, F.coalesce(F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("least_alone")), "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
