@@ -17,8 +17,9 @@ def test_stages_match_brute_force(spark):
 
     one = staged(P.identify_language(spark, docs, SF), "t1")
     found = {r.doc_id: r for r in one.collect()}
-    predicted = {r.doc_id: r for r in language.predict_language(docs, language.learn(docs)).collect()}
-    assert set(found) == {i for i, r in predicted.items() if r.lang_pred != "und" and r.score >= P.LEAST_SCORE}
+    samples = language.learn(docs)
+    predicted = {r.doc_id: r for r in language.predict_language(docs, samples).collect()}
+    assert set(found) == {i for i, r in predicted.items() if r.lang_pred != "und" and r.score >= P.least_score(len(samples))}
     assert len(found) > 0.97 * len(start)
     assert sum(found[i].lang == start[i].lang for i in found) > 0.98 * len(found)
 
@@ -51,14 +52,37 @@ def test_stages_match_brute_force(spark):
     assert {r.doc_id for r in five.select("doc_id").collect()} <= clean
 
 
-def test_run_and_edges(spark):
+def test_run(spark):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["language", "near_duplicates", "decontaminate", "pii", "mixing"]
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(batch, 77 << 20)
     assert P.run(spark, "/root/testdata/sf0.001").where("rate > 0").count() > 100
-    text = "the quiet river runs under the old stone bridge every day"
-    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text + " and more", "en", "s", 1), (2, None, None, None, None), (3, text.upper(), "en", None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table, n in ((docs, 2), (docs.limit(0), 0)):
-        one = P.identify_language(spark, table, SF)
-        assert one.count() == (4 if n else 0)
-        assert P.drop_near_duplicates(spark, one, SF).count() == n
-        assert P.redact_personal_data(spark, P.drop_contaminated(spark, one, SF), SF).count() == (4 if n else 0)
+    assert spark.conf.get(batch) == str(77 << 20)
+    spark.conf.unset(batch)
+    assert [round(P.least_score(n), 3) for n in (0, 1, 2, 4, 100)] == [1, 1, 0.6, 0.4, 0.208]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and shared ids, repeats, ties, long texts, clashing extra columns and empty tables."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    lines = lambda word: " ".join(f"the {word} of line {i} is here" for i in range(40))
+    a, b, c = lines("river"), lines("bridge"), lines("garden")
+    near = a + " and"
+    long = " ".join(f"long{i} text{i % 977}" for i in range(60_000))
+    rows = [(1, a), (1, a), (1, b), (5, near), (None, near), (None, c), (None, c), (2, None), (2, ""), (3, ""), (4, f"{lines('hill')} {item}"), (4, lines("castle")), (None, f"{lines('tower')} {item}"), (6, long), (7, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as component", "2 as text_hash", "3 as _id", "4 as tokens")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    two = P.drop_near_duplicates(spark, docs, SF)
+    assert two.columns == list(P.COLUMNS)
+    want = [(1, a), (1, b), (None, c), (2, None), (2, ""), (3, ""), (4, f"{lines('hill')} {item}"), (4, lines("castle")), (None, f"{lines('tower')} {item}"), (6, long)]
+    assert pairs(two) == sorted(want, key=str)
+    three = P.drop_contaminated(spark, docs, SF)
+    assert pairs(three) == sorted([r for r in rows if not (r[1] or "").endswith(item)], key=str)
+    four = P.redact_personal_data(spark, docs, SF)
+    assert four.columns == list(P.COLUMNS) and len(pairs(four)) == len(rows)
+    five = P.mix_sources(spark, docs, SF)
+    assert five.columns == [*P.COLUMNS, "tokens", "posterior", "rate"]
+    one = P.identify_language(spark, docs, SF)
+    assert {r.lang for r in one.collect()} == {"en"} and one.columns == list(P.COLUMNS)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
