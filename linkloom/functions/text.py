@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Decoration, markers and word lists that define the token space.
-JUNK_AFFIX = r"""^[\s\-–—<>#*~^|/\\.,;:!+=_'"()\[\]{}]+|[\s\-–—<>#*~^|/\;:!+=_'"]+$"""
+JUNK_AFFIX = r"""^[\s\-–—<>#*~^|/\\.,;:!+=_'"()\[\]{}]+|[\s\-–—<>#*~^|/\\;:!+=_'"]+$"""
 TRADE_NAME = r"(?i)\b(?:d\s*/?\s*b\s*/?\s*a|doing\s+business\s+as|trading\s+as|t\s*/\s*a|formerly|aka|a\s*/\s*k\s*/\s*a)\b"
 MESSRS = r"(?i)^\s*m\s*/\s*s\.?\s+"
 DOMAIN = r"(?i)^([a-z0-9][a-z0-9\-]*)\.(?:com|net|org|co|in|io|biz|info|fr|us|co\.in|co\.uk)$"

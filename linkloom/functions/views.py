@@ -66,6 +66,13 @@ def postings(records: DataFrame, views: tuple[str, ...] = DEFAULT_VIEWS) -> Data
     return shown.select("country", "view", "id", "token")
 
 
+def text_variants(records: DataFrame) -> DataFrame:
+    """(id, variant, text) of parsed records: name, address, and both."""
+    texts = {"name only": F.col("name_joined"), "address only": F.col("addr_joined"), "name+address": F.concat_ws(" ", "name_joined", "addr_joined")}
+    each = F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("text")) for k, v in texts.items()))
+    return records.select("id", F.explode(each).alias("v")).select("id", "v.*")
+
+
 def exact_keys(records: DataFrame) -> DataFrame:
     """(id, country, key, value): deterministic keys of parsed records, null where empty."""
     words = F.array_join(F.array_sort(F.filter("addr", lambda t: ~t.rlike(r"\d"))), " ")

@@ -25,6 +25,7 @@ class Boosting:
     step: float = 0.1
     least_rows: int = 20
     rows_share: float = 0.85
+    features_share: float = 0.85  # tried at each node
     seed: int = 42
 
 
@@ -34,7 +35,7 @@ DEVELOPMENT = Boosting(trees=40, depth=5, step=0.08)
 
 
 def train(pairs: DataFrame, features: list[str], how: Boosting = STAGE_ONE, label: str = "label") -> PipelineModel:
-    booster = GBTClassifier(labelCol=label, maxIter=how.trees, maxDepth=how.depth, stepSize=how.step, minInstancesPerNode=how.least_rows, subsamplingRate=how.rows_share, seed=how.seed)
+    booster = GBTClassifier(labelCol=label, maxIter=how.trees, maxDepth=how.depth, stepSize=how.step, minInstancesPerNode=how.least_rows, subsamplingRate=how.rows_share, featureSubsetStrategy=str(how.features_share), seed=how.seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), booster]).fit(pairs.withColumn(label, F.col(label).cast("double")))
 
 
@@ -44,6 +45,13 @@ def score(pairs: DataFrame, model: PipelineModel, places: int = 6) -> DataFrame:
     return found.withColumn("p1", F.round(vector_to_array("probability")[1], places)).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("p1", "probability")
 
 
+def cross_score(rows: DataFrame, features: list[str], how: Boosting = STAGE_ONE, label: str = "label") -> DataFrame:
+    """Rows of each half (A, B) scored by a model trained on the other half, so that a later stage
+    learns from scores as it will meet them."""
+    a, b = rows.where("half = 'A'"), rows.where("half = 'B'")
+    return score(b, train(a, features, how, label)).unionByName(score(a, train(b, features, how, label)))
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

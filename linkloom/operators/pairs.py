@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as S
 from linkloom.functions import text as T
+from linkloom.sources.staging import spread
 
 #: Names and order of the model's inputs.
 FEATURES = (
@@ -25,7 +26,7 @@ def side_by_side(pairs: DataFrame, parsed: DataFrame, right: str = "entity_id",
     carried = (*_CARRIED, "name_grams", "addr_grams")
     a = own.select(F.col("id").alias(left), *(F.col(c).alias(f"l_{c}") for c in carried))
     b = own.select(F.col("id").alias(right), *(F.col(c).alias(f"r_{c}") for c in carried))
-    return pairs.join(a, left).join(b, right)
+    return spread(pairs, left).join(a, left).join(b, right)
 
 
 def set_features() -> dict[str, Column]:
@@ -53,6 +54,32 @@ def set_features() -> dict[str, Column]:
     }
 
 
+def signals(strings: bool = True) -> dict[str, Column]:
+    """The seven signals by which owned pairs are told from hard negatives, null where undefined; of
+    pairs with `folded` columns (see `with_folded`).  Without `strings`, six of them."""
+    l_, r_ = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
+    blank = lambda c: F.trim(c) == ""
+    each = {
+        "name_jaccard": S.jaccard_or_null(l_("folded_core"), r_("folded_core")),
+        "name_jaccard_romanized": S.jaccard_or_null(l_("core"), r_("core")),
+        "addr_jaccard": S.jaccard_or_null(l_("folded_addr"), r_("folded_addr")),
+        "addr_jaccard_romanized": S.jaccard_or_null(l_("addr"), r_("addr")),
+        "addr_numeric_jaccard": S.jaccard_or_null(l_("numbers"), r_("numbers")),
+        "addr_empty_either": (blank(l_("address")) | blank(r_("address"))).cast("double"),
+    }
+    if strings:
+        sorted_set = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ")
+        each["name_token_set_ratio"] = S.token_set_ratio(sorted_set(l_("core")), sorted_set(r_("core")))
+    return each
+
+
+def with_folded(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Adds l_ and r_ folded_core and folded_addr: tokens without romanisation."""
+    own = records.select("id", T.name_core(T.name_tokens(T.fold(T.clean_name(F.col("name"))))).alias("folded_core"), T.address_tokens(T.fold(T.strip_junk(F.col("address")))).alias("folded_addr"))
+    side = lambda i, x: own.select(F.col("id").alias(i), *(F.col(c).alias(f"{x}_{c}") for c in ("folded_core", "folded_addr")))
+    return pairs.join(side("record_id", "l"), "record_id").join(side("entity_id", "r"), "entity_id")
+
+
 def string_features() -> dict[str, Column]:
     """Those that compare strings, in Arrow batches."""
     name, addr = (F.col("l_name_joined"), F.col("r_name_joined")), (F.col("l_addr_joined"), F.col("r_addr_joined"))

@@ -8,7 +8,7 @@ the window column itself so that each task cuts to k before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PLACES = 6  # scores are rounded before they rank, so that summation order cannot matter
@@ -52,18 +52,44 @@ def retrieve(queries: DataFrame, index: DataFrame, k: int = 5, cap: float = 0.02
     return top_k(scores(weighted(queries, vocab), weighted(index, vocab), floor), k)
 
 
-def pruned_scores(queries: DataFrame, index: DataFrame, floor: float) -> DataFrame:
-    """Like `scores` for floor > 0, by exact prefix filtering: of each record, tokens are joined
-    only while the rest could still reach the floor; survivors are scored in full."""
+def pruned_scores(queries: DataFrame, index: DataFrame, floor: float, share: float = 0.5) -> DataFrame:
+    """Like `scores` for floor > 0, by exact prefix filtering: of each record, heaviest first, tokens
+    are joined until the rest has a norm below `share` of the floor.  A pair's score is at most that of
+    these heads plus that norm; only pairs that can still reach the floor are joined to the rest."""
     if floor <= 0:
         raise ValueError("prefix filtering needs a positive floor")
-    rest = Window.partitionBy("country", "view", "id").orderBy(F.desc("w"), "token").rowsBetween(0, Window.unboundedFollowing)
-    heads = queries.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("_rest") >= floor - 10**-PLACES)
-    near = heads.join(index.select("country", "view", "token", F.col("id").alias("entity_id")), ["country", "view", "token"]).select("country", "view", F.col("id").alias("record_id"), "entity_id").distinct()
-    q = queries.select("country", "view", "token", F.col("id").alias("record_id"), F.col("w").alias("wq"))
-    e = index.select("country", "view", "token", F.col("id").alias("entity_id"), F.col("w").alias("we"))
-    full = near.join(q, ["country", "view", "record_id"]).join(e, ["country", "view", "token", "entity_id"])
-    return full.groupBy("country", "view", "record_id", "entity_id").agg(F.round(F.sum(F.col("wq") * F.col("we")), PLACES).alias("score")).where(F.col("score") > floor)
+    own = ["country", "view"]
+    onward = Window.partitionBy(*own, "id").orderBy(F.desc("w"), "token").rowsBetween(0, Window.unboundedFollowing)
+    cut = floor * share
+    parts = queries.withColumn("_rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward))).withColumn("_left", F.max(F.when(F.col("_rest") < cut, F.col("_rest"))).over(Window.partitionBy(*own, "id")))
+    parts = parts.select(*own, "token", F.col("id").alias("record_id"), F.col("w").alias("wq"), (F.col("_rest") >= cut).alias("_head"), F.coalesce("_left", F.lit(0.0)).alias("_left"))
+    e = index.select(*own, "token", F.col("id").alias("entity_id"), F.col("w").alias("we"))
+    product = F.sum(F.col("wq") * F.col("we"))
+    heads = parts.where("_head").join(e, [*own, "token"]).groupBy(*own, "record_id", "entity_id").agg(product.alias("head"), F.max("_left").alias("_left"))
+    near = heads.where(F.col("head") + F.col("_left") >= floor - 10**-PLACES).select(*own, "record_id", "entity_id", "head")
+    tails = near.join(parts.where("not _head").select(*own, "record_id", "token", "wq"), [*own, "record_id"]).join(e, [*own, "token", "entity_id"])
+    tails = tails.groupBy(*own, "record_id", "entity_id").agg(product.alias("tail"))
+    found = near.join(tails, [*own, "record_id", "entity_id"], "left").withColumn("score", F.round(F.col("head") + F.coalesce("tail", F.lit(0.0)), PLACES))
+    return found.where(F.col("score") > floor).select(*own, "record_id", "entity_id", "score")
+
+
+def write_index(postings: DataFrame, path: str, cap: float = 0.02) -> None:
+    """A searched side as tables: the vocabulary and the weighted postings, by country and view."""
+    vocab = vocabulary(postings, cap)
+    vocab.write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/vocabulary")
+    vocab = read_table(postings.sparkSession, f"{path}/vocabulary")
+    weighted(postings, vocab).write.mode("overwrite").partitionBy("country", "view").parquet(f"{path}/postings")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table by country and view; partition values stay strings, whatever they look like."""
+    found = spark.read.option("basePath", path).parquet(path)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("country", "view")})
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, weighted postings) of `write_index`."""
+    return read_table(spark, f"{path}/vocabulary"), read_table(spark, f"{path}/postings")
 
 
 def union_of_views(ranked: DataFrame, views: tuple[str, ...] = ("composite", "ngram")) -> DataFrame:

@@ -70,6 +70,10 @@ def _jaccard(a: str, b: str) -> str:
     return f"CASE WHEN {both} > 0 THEN len(list_intersect({a}, {b})) / {both} ELSE 0.0 END"
 
 
+def _jaccard_or_null(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) > 0 THEN {_jaccard(a, b)} END"
+
+
 def _f(p: str, t: str, h: str) -> str:
     return f"CASE WHEN {p} = 0 AND {t} = 0 THEN 1.0 WHEN {p} = 0 OR {t} = 0 OR {h} = 0 THEN 0.0 ELSE 1.25 * ({h} / {p}) * ({h} / {t}) / (0.25 * ({h} / {p}) + {h} / {t}) END"
 
@@ -112,11 +116,11 @@ _STEPS = {
     "own": "SELECT entity_id, count(DISTINCT record_id) AS n FROM truth GROUP BY 1",
     "cnts": "SELECT e.entity_id, CAST(coalesce(p.predicted, 0) AS BIGINT) AS predicted, CAST(coalesce(p.hits, 0) AS BIGINT) AS hits, CAST(coalesce(o.n, 0) AS BIGINT) AS \"true\" FROM ents e LEFT JOIN own o USING (entity_id) LEFT JOIN (SELECT a.entity_id, count(*) AS predicted, count(t.record_id) AS hits FROM acc a LEFT JOIN truth t USING (record_id, entity_id) GROUP BY 1) p USING (entity_id)",
     "fates": "SELECT t.record_id, t.entity_id, CASE WHEN d.entity_id IS NULL THEN 'a_not_retrieved' WHEN d.entity_id <> t.entity_id THEN 'b_wrong_top1' WHEN d.probability < 0.5 THEN 'c_below_threshold' ELSE 'ok' END AS fate FROM truth t LEFT JOIN decs d USING (record_id)",
-    "folded": f"SELECT *, lower({_LATIN.format(_clean_name('name'))}) AS fn, lower({_LATIN.format(_junk('address'))}) AS fa FROM recs",
-    "tok": f"SELECT id, source, country, name, address, fa, {_core(_name_tokens('fn'))} AS core, {_addr_tokens('fa')} AS addr, list_filter(string_split(fa, ','), lambda p: trim(p) <> '') AS parts FROM folded",
+    "folded": f"SELECT *, lower({_LATIN.format(_clean_name('name'))}) AS fn, lower({_LATIN.format(_junk('address'))}) AS fa, lower(strip_accents({_clean_name('name')})) AS pn, lower(strip_accents({_junk('address')})) AS pa FROM recs",
+    "tok": f"SELECT id, source, country, name, address, fa, {_core(_name_tokens('pn'))} AS pcore, {_addr_tokens('pa')} AS paddr, {_core(_name_tokens('fn'))} AS core, {_addr_tokens('fa')} AS addr, list_filter(string_split(fa, ','), lambda p: trim(p) <> '') AS parts FROM folded",
     "prs": f"SELECT *, list_distinct(list_filter(addr, lambda t: regexp_matches(t, '\\d'))) AS numbers, list_distinct(flatten(list_transform(parts[greatest(len(parts) - 2, 1):], lambda p: {_addr_tokens('p')}))) AS spots, array_to_string(core, ' ') AS nj, array_to_string(addr, ' ') AS aj FROM tok",
-    "gram": f"SELECT id, source, country, name, address, core, addr, numbers, nj, aj, {_grams('nj')} AS ng, {_grams('aj')} AS ag FROM prs",
-    "sided": "SELECT c.country, c.record_id, c.entity_id, {'name': l.name, 'address': l.address, 'core': l.core, 'addr': l.addr, 'numbers': l.numbers, 'nj': l.nj, 'aj': l.aj, 'ng': l.ng, 'ag': l.ag} AS l, {'name': r.name, 'address': r.address, 'core': r.core, 'addr': r.addr, 'numbers': r.numbers, 'nj': r.nj, 'aj': r.aj, 'ng': r.ng, 'ag': r.ag} AS r FROM cands2 c JOIN gram l ON l.id = c.record_id JOIN gram r ON r.id = c.entity_id",
+    "gram": f"SELECT id, source, country, name, address, core, addr, pcore, paddr, numbers, nj, aj, {_grams('nj')} AS ng, {_grams('aj')} AS ag FROM prs",
+    "sided": "SELECT c.country, c.record_id, c.entity_id, {'name': l.name, 'address': l.address, 'core': l.core, 'pcore': l.pcore, 'paddr': l.paddr, 'addr': l.addr, 'numbers': l.numbers, 'nj': l.nj, 'aj': l.aj, 'ng': l.ng, 'ag': l.ag} AS l, {'name': r.name, 'address': r.address, 'core': r.core, 'pcore': r.pcore, 'paddr': r.paddr, 'addr': r.addr, 'numbers': r.numbers, 'nj': r.nj, 'aj': r.aj, 'ng': r.ng, 'ag': r.ag} AS r FROM cands2 c JOIN gram l ON l.id = c.record_id JOIN gram r ON r.id = c.entity_id",
     "vposts": "SELECT country, 'name' AS view, id, source, unnest(list_distinct(list_transform(core, lambda t: 'n:' || t))) AS token FROM prs UNION ALL SELECT country, 'address', id, source, unnest(list_distinct(list_concat(list_transform(addr, lambda t: 'a:' || t), list_transform(numbers, lambda t: 'd:' || t)))) FROM prs",
     "vposts_e": "SELECT * FROM vposts WHERE source = 1",
     "vposts_q": "SELECT * FROM vposts WHERE source > 1",
@@ -149,6 +153,16 @@ _FEATURES = {
     "addr_both_empty": "CASE WHEN trim(l.address) = '' AND trim(r.address) = '' THEN 1.0 ELSE 0.0 END",
 }
 
+_SIGNALS = {
+    "name_jaccard": _jaccard_or_null("l.pcore", "r.pcore"),
+    "name_jaccard_romanized": _jaccard_or_null("l.core", "r.core"),
+    "addr_jaccard": _jaccard_or_null("l.paddr", "r.paddr"),
+    "addr_jaccard_romanized": _jaccard_or_null("l.addr", "r.addr"),
+    "addr_numeric_jaccard": _jaccard_or_null("l.numbers", "r.numbers"),
+    "addr_empty_either": "CASE WHEN trim(l.address) = '' OR trim(r.address) = '' THEN 1.0 ELSE 0.0 END",
+}
+_REPORT = "SELECT round(avg(f), 6) AS macro_f, round(avg(f) FILTER (\"true\" = 0), 6) AS macro_f_singletons, round(avg(f) FILTER (\"true\" > 0), 6) AS macro_f_matched, count(*) FILTER (\"true\" = 0) AS n_singletons, count(*) FILTER (\"true\" > 0) AS n_matched, coalesce(round(sum(hits) / nullif(sum(predicted), 0), 6), 0.0) AS micro_precision, coalesce(round(sum(hits) / nullif(sum(\"true\"), 0), 6), 0.0) AS micro_recall FROM (SELECT *, CAST(" + _f("predicted", '"true"', "hits") + " AS DOUBLE) AS f FROM {})"
+
 _QUERIES = {
     "flagship_cosine_topk": "SELECT country, record_id, entity_id, score, rank FROM cands",
     "tokenize_names": f"SELECT id, array_to_string(t, ' ') AS tokens, array_to_string({_core('t')}, ' ') AS core FROM (SELECT id, {_name_tokens('lower(n)')} AS t FROM (SELECT id, {_clean_name('text')} AS n FROM recs))",
@@ -188,7 +202,7 @@ _QUERIES = {
     "expected_f_prefix": "WITH a AS (SELECT *, row_number() OVER o AS m, sum(probability) OVER o AS s, sum(probability) OVER g AS t, CASE WHEN max(probability) OVER g >= 1 THEN 0.0 ELSE product(1 - probability) OVER g END AS none FROM decs WHERE probability >= 0.1 WINDOW g AS (PARTITION BY country, entity_id), o AS (PARTITION BY country, entity_id ORDER BY probability DESC, record_id ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, round(1.25 * (s / m) * (s / (t * 1.1)) / (0.25 * (s / m) + s / (t * 1.1)), 6) AS f FROM a), c AS (SELECT *, max(f) OVER (PARTITION BY country, entity_id) AS top FROM b), d AS (SELECT *, min(m) FILTER (f = top) OVER (PARTITION BY country, entity_id) AS cut FROM c) SELECT record_id, entity_id, probability FROM d WHERE m <= cut AND round(none, 6) < top",
     "stage_scope": "SELECT country, record_id, entity_id FROM decs WHERE CASE WHEN country IN ('en', 'fr') THEN round(probability * 0.9, 6) >= 0.45 ELSE probability >= 0.5 END",
     "entity_fbeta": f"SELECT entity_id, predicted, hits, \"true\", CAST(round({_f('predicted', '\"true\"', 'hits')}, 6) AS DOUBLE) AS f FROM cnts",
-    "macro_fbeta_report": "SELECT round(avg(f), 6) AS macro_f, round(avg(f) FILTER (\"true\" = 0), 6) AS macro_f_singletons, round(avg(f) FILTER (\"true\" > 0), 6) AS macro_f_matched, count(*) FILTER (\"true\" = 0) AS n_singletons, count(*) FILTER (\"true\" > 0) AS n_matched, coalesce(round(sum(hits) / nullif(sum(predicted), 0), 6), 0.0) AS micro_precision, coalesce(round(sum(hits) / nullif(sum(\"true\"), 0), 6), 0.0) AS micro_recall FROM (SELECT *, CAST(" + _f("predicted", '"true"', "hits") + " AS DOUBLE) AS f FROM cnts)",
+    "macro_fbeta_report": _REPORT.format("cnts"),
     "threshold_margin_sweep": f"WITH g AS ({_SWEEP}), p AS (SELECT threshold, margin, d.entity_id, count(*) AS p, count(t.record_id) AS h FROM decs d LEFT JOIN truth t USING (record_id, entity_id), g WHERE d.probability >= g.threshold AND d.margin >= g.margin GROUP BY ALL), x AS (SELECT g.threshold, g.margin, e.entity_id, coalesce(p.p, 0) AS p, coalesce(p.h, 0) AS h, coalesce(o.n, 0) AS t FROM g, ents e LEFT JOIN own o USING (entity_id) LEFT JOIN p ON p.threshold = g.threshold AND p.margin = g.margin AND p.entity_id = e.entity_id) SELECT threshold, margin, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(h) AS BIGINT) AS hits, round(avg(CAST({_f('p', 't', 'h')} AS DOUBLE)), 6) AS macro_f FROM x GROUP BY ALL".replace("d.margin >= g.margin", "d.margin >= g.margin").replace("SELECT threshold, margin, d.entity_id", "SELECT g.threshold, g.margin, d.entity_id"),
     "loss_buckets": "SELECT fate, count(*) AS n FROM fates GROUP BY 1",
     "wrong_accepts": "SELECT CASE WHEN t.entity_id IS NULL THEN 'distractor' ELSE 'wrong_entity' END AS kind, count(*) AS n FROM acc a LEFT JOIN truth t USING (record_id) WHERE t.entity_id IS NULL OR t.entity_id <> a.entity_id GROUP BY 1",
@@ -210,7 +224,13 @@ _QUERIES = {
     "country_mix": "SELECT count(*) AS links, count(*) FILTER (a.country <> b.country) AS across FROM truth t JOIN recs a ON a.id = t.record_id JOIN recs b ON b.id = t.entity_id",
     "match_histogram": "SELECT coalesce(o.n, 0) AS size, count(*) AS entities FROM ents e LEFT JOIN own o USING (entity_id) GROUP BY 1",
     "nearest_rank_percentiles": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS mean, " + ", ".join(f"list_sort(list(l_quantity))[CAST(round_even({p} / 100 * (count(*) - 1), 0) AS BIGINT) + 1] AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM lineitem GROUP BY 1",
-    "separability": f"WITH x AS (SELECT CASE WHEN t.record_id IS NULL THEN 0 ELSE 1 END AS own, unnest([{{'feature': 'name_jaccard', 'x': CAST({_FEATURES['name_jaccard']} AS DOUBLE)}}, {{'feature': 'addr_jaccard', 'x': CAST({_FEATURES['addr_jaccard']} AS DOUBLE)}}, {{'feature': 'name_trigram_jaccard', 'x': CAST({_FEATURES['name_trigram_jaccard']} AS DOUBLE)}}], recursive := true) FROM sided s LEFT JOIN truth t USING (record_id, entity_id)), m AS (SELECT feature, round(quantile_cont(x, 0.5) FILTER (own = 1), 6) AS true_median, round(quantile_cont(x, 0.5) FILTER (own = 0), 6) AS negative_median FROM x GROUP BY 1) SELECT *, round(true_median - negative_median, 6) AS gap FROM m",
+    "separability": "WITH x AS (SELECT CASE WHEN t.record_id IS NULL THEN 0 ELSE 1 END AS own, unnest([" + ", ".join(f"{{'feature': '{k}', 'x': CAST({v} AS DOUBLE)}}" for k, v in _SIGNALS.items()) + "], recursive := true) FROM sided s LEFT JOIN truth t USING (record_id, entity_id)), m AS (SELECT feature, round(quantile_cont(x, 0.5) FILTER (own = 1), 6) AS true_median, round(quantile_cont(x, 0.5) FILTER (own = 0), 6) AS negative_median FROM x GROUP BY 1) SELECT *, round(true_median - negative_median, 6) AS gap FROM m",
+    "text_variants": "SELECT id, unnest([{'variant': 'name only', 'text': nj}, {'variant': 'address only', 'text': aj}, {'variant': 'name+address', 'text': nj || ' ' || aj}], recursive := true) FROM prs",
+    "delivery_problems": "SELECT 'matches: entity missing' AS problem, count(*) AS n FROM ents WHERE country = 'es' HAVING count(*) > 0",
+    "list_sizes": "SELECT country, count(*) AS entities, CAST(sum(n) AS BIGINT) AS ids FROM (SELECT e.country, e.entity_id, count(c.record_id) AS n FROM ents e LEFT JOIN cands c USING (entity_id) GROUP BY ALL) GROUP BY 1",
+    "within_source_agreement": f"WITH p AS (SELECT a.source, round(CAST({_jaccard('a.ag', 'b.ag')} AS DOUBLE), 6) AS x FROM truth t JOIN gram a ON a.id = t.record_id JOIN truth u USING (entity_id) JOIN gram b ON b.id = u.record_id AND a.source = b.source AND a.id < b.id) SELECT source, count(*) AS pairs, round(avg(x), 4) AS mean, " + ", ".join(f"list_sort(list(x))[CAST(round_even({p} / 100 * (count(*) - 1), 0) AS BIGINT) + 1] AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM p GROUP BY 1",
+    "holdout_report": "SELECT * FROM (" + _REPORT.format("cnts WHERE entity_id IN (SELECT id FROM held WHERE split = 'valid')") + ")",
+    "halves_improve": "WITH g AS (SELECT entity_id, count(*) FILTER (probability >= 0.9) AS p9, count(t.record_id) FILTER (probability >= 0.9) AS h9, count(*) FILTER (probability >= 0.4) AS p4, count(t.record_id) FILTER (probability >= 0.4) AS h4 FROM decs d LEFT JOIN truth t USING (record_id, entity_id) GROUP BY 1), x AS (SELECT n.hash, coalesce(p9, 0) AS p9, coalesce(h9, 0) AS h9, coalesce(p4, 0) AS p4, coalesce(h4, 0) AS h4, coalesce(o.n, 0) AS t FROM ents e JOIN numbered n ON n.id = e.entity_id LEFT JOIN g USING (entity_id) LEFT JOIN own o USING (entity_id)), y AS (SELECT (hash >> 16) % 2 AS half, round(avg(round(CAST(" + _f("p9", "t", "h9") + " AS DOUBLE), 6)), 6) AS b, round(avg(round(CAST(" + _f("p4", "t", "h4") + " AS DOUBLE), 6)), 6) AS a FROM x GROUP BY 1) SELECT bool_and(a > b) AS accepted FROM y",
     "stream_shards": "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM recs",
     "grouped_holdout": "SELECT * FROM held",
     "holdout_mix": "SELECT split, country, count(*) AS n FROM held GROUP BY ALL",
@@ -224,6 +244,7 @@ _QUERIES = {
     "events_top_value": "SELECT event_id, user_id, event_type, value, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3",
     "average_precision": "WITH s AS (SELECT probability, count(*) AS n, count(t.record_id) AS h FROM decs d LEFT JOIN truth t USING (record_id, entity_id) GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY probability DESC) AS seen, sum(h) OVER (ORDER BY probability DESC) AS got FROM s) SELECT round(round(sum(got / seen * h), 6) / sum(h), 6) AS average_precision FROM r",
 }
+_QUERIES["sweep_leaderboard"] = _QUERIES["threshold_margin_sweep"] + " ORDER BY macro_f DESC, threshold DESC, margin DESC LIMIT 5"
 _QUERIES["pruned_topk"] = _QUERIES["floored_topk"]
 _QUERIES["candidate_score_percentiles"] = "SELECT p, CASE p " + " ".join(f"WHEN {p} THEN round(quantile_cont(score, {p}), 6)" for p in (0.1, 0.25, 0.5, 0.65, 0.75, 0.9, 0.99)) + " END AS value FROM cands, (SELECT unnest([0.1, 0.25, 0.5, 0.65, 0.75, 0.9, 0.99])::DOUBLE AS p) GROUP BY p"
 

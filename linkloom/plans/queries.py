@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,9 @@ from linkloom.functions import text as T
 from linkloom.functions import views as V
 from linkloom.operators import decide, diagnostics, groups, metrics, models, pairs, retrieval, splits
 from linkloom.plans import adapter as A
+from linkloom.plans import job
 from linkloom.sources import records as R
+from linkloom.sources.staging import Steps, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 THRESHOLD = 0.5
@@ -217,7 +220,8 @@ def hard_negatives(rows):
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    return pairs.side_by_side(A.word_candidates(rows, 2).select("country", "record_id", "entity_id"), V.parsed(rows))
+    """Two candidates of each record with the texts of both sides, parsed once."""
+    return pairs.side_by_side(A.word_candidates(rows, 2).select("country", "record_id", "entity_id"), written(V.parsed(rows), "parsed"))
 
 
 @query
@@ -250,9 +254,13 @@ def pair_fuzzy_ratios(rows):
 
 @query
 def pair_features_33(rows):
-    parsed = V.parsed(rows)
+    return _features(rows)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    parsed = written(V.parsed(rows), "parsed")
     index = A.sides(parsed)[1]
-    return pairs.pair_features(A.view_candidates(parsed), parsed, V.postings(parsed), retrieval.vocabulary(V.postings(index), A.CAP))
+    return pairs.pair_features(written(A.view_candidates(parsed), "candidates"), parsed, V.postings(parsed), retrieval.vocabulary(V.postings(index), A.CAP))
 
 
 # Decisions ----------------------------------------------------------------------------------
@@ -317,6 +325,34 @@ def threshold_margin_sweep(rows):
     return metrics.sweep(A.word_decisions(rows), A.links(rows), A.entities(rows), [0.2, 0.4, 0.5, 0.6, 0.8, 1.0], [0.0, 0.05])
 
 
+@query
+def sweep_leaderboard(rows):
+    return metrics.leaderboard(metrics.sweep(A.word_decisions(rows), A.links(rows), A.entities(rows), [0.2, 0.4, 0.5, 0.6, 0.8, 1.0], [0.0, 0.05]), 5)
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    return splits.holdout(rows.where("source = 1").select("id", "country"), by=splits.number).where("split = 'valid'").select(F.col("id").alias("entity_id"))
+
+
+@query
+def holdout_report(rows):
+    """The report over held-out entities only."""
+    found, own, held = metrics.on_holdout(decide.by_threshold(A.word_decisions(rows), THRESHOLD), A.links(rows), _held(rows))
+    return metrics.report(metrics.entity_counts(found, own, held))
+
+
+@query
+def halves_improve(rows):
+    """Whether a lower threshold is better than a higher one in both halves."""
+    found, halves = A.word_decisions(rows), splits.halves(A.entities(rows), by=splits.number)
+
+    def by_half(threshold: float) -> DataFrame:
+        scored = metrics.entity_scores(metrics.entity_counts(decide.by_threshold(found, threshold), A.links(rows), A.entities(rows)))
+        return scored.join(halves, "entity_id").groupBy("half").agg(F.round(F.avg("f"), 6).alias("macro_f"))
+
+    return metrics.both_halves_improve(by_half(0.9), by_half(0.4))
+
+
 @query
 def loss_buckets(rows):
     return metrics.link_fates(A.word_decisions(rows), A.links(rows), THRESHOLD).groupBy("fate").agg(F.count("*").alias("n"))
@@ -329,7 +365,7 @@ def wrong_accepts(rows):
 
 @query
 def oracle_pricing(rows):
-    return metrics.oracle_prices(A.word_decisions(rows), A.links(rows), A.entities(rows), THRESHOLD)
+    return metrics.oracle_prices(written(A.word_decisions(rows), "decisions"), A.links(rows), A.entities(rows), THRESHOLD)
 
 
 @query
@@ -357,26 +393,47 @@ def group_shape_features(rows):
 
 @query
 def sibling_agreement(rows):
-    texts = groups.parsed_for_groups(V.parsed(rows))
-    kept = decide.by_threshold(A.word_decisions(rows), 0.3)
+    kept, parsed = _kept(rows)
+    texts = groups.parsed_for_groups(parsed)
     return groups.sibling_features(kept, texts, strings=False).join(groups.self_features(kept, texts, strings=False), "record_id")
 
 
+def _kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions of some weight, and the parsed texts of the records and entities that they name."""
+    kept = written(decide.by_threshold(A.word_decisions(rows), 0.3), "decisions")
+    named = kept.select(F.explode(F.array("record_id", "entity_id")).alias("id")).distinct()
+    return kept, written(V.parsed(rows.join(named, "id", "left_semi")), "parsed")
+
+
 @query
 def group_features_24(rows):
-    source = rows.select(F.col("id").alias("record_id"), "source")
-    return groups.group_features(A.word_decisions(rows).join(source, "record_id"), V.parsed(rows), 0.3)
+    kept, parsed = _kept(rows)
+    return groups.group_features(kept.join(parsed.select(F.col("id").alias("record_id"), "source"), "record_id"), parsed, 0.3)
 
 
 @query
 def group_duplicate_agreement(rows):
     """Agreement of names across the second and third source inside true groups."""
-    p = groups.parsed_for_groups(V.parsed(rows)).join(rows.select("id", "source"), "id")
+    p = groups.parsed_for_groups(_owned(rows)).join(rows.select("id", "source"), "id")
     side = lambda n, x: A.links(rows).join(p.where(F.col("source") == n), F.expr("id = record_id")).select("entity_id", F.col("ng").alias(f"{x}g"), F.col("name_joined").alias(f"{x}n"))
     both = side(2, "a").join(side(3, "b"), "entity_id")
     return diagnostics.group_duplicates(both.select("entity_id", S.jaccard(F.col("ag"), F.col("bg")).alias("similarity"), (F.col("an") == F.col("bn")).alias("equal")))
 
 
+def _owned(rows: DataFrame) -> DataFrame:
+    """Parsed records that an entity owns."""
+    return V.parsed(rows.join(A.links(rows).select(F.col("record_id").alias("id")), "id", "left_semi"))
+
+
+@query
+def within_source_agreement(rows):
+    """Agreement of addresses of records that one entity has from one source."""
+    owned = groups.parsed_for_groups(_owned(rows)).join(rows.select("id", "source"), "id").join(A.links(rows).withColumnRenamed("record_id", "id"), "id")
+    a, b = (owned.select("entity_id", "source", F.col("id").alias(f"{x}id"), F.col("ag").alias(f"{x}g")) for x in "ab")
+    both = a.join(b, ["entity_id", "source"]).where("aid < bid")
+    return diagnostics.within_sources(both.select("source", F.round(S.jaccard(F.col("ag"), F.col("bg")), 6).alias("similarity")))
+
+
 # Sinks, checks and profiles -------------------------------------------------------------------
 
 
@@ -443,10 +500,32 @@ def nearest_rank_percentiles(spark, sf_dir):
 
 @query
 def separability(rows):
-    p = _pairs(rows).withColumns(pairs.set_features())
+    each = pairs.signals(strings=False)
+    p = pairs.with_folded(_pairs(rows), rows).withColumns(each)
     own = A.links(rows).select("record_id", "entity_id", F.lit(1).alias("own"))
     labelled = p.join(own, ["record_id", "entity_id"], "left").withColumn("label", F.coalesce("own", F.lit(0)))
-    return diagnostics.separability(labelled, ["name_jaccard", "addr_jaccard", "name_trigram_jaccard"])
+    return diagnostics.separability(labelled, list(each))
+
+
+@query
+def text_variants(rows):
+    """The three texts by which plain character n-gram retrieval is tried."""
+    return V.text_variants(V.parsed(rows))
+
+
+@query
+def delivery_problems(rows):
+    """Checks of the lists that would be delivered; without the entities of one country, which shows
+    them as missing."""
+    matches = R.complete_lists(A.entities(rows).where("country <> 'es'"), decide.by_threshold(A.word_decisions(rows), THRESHOLD))
+    return R.problems(A.entities(rows), matches, R.complete_lists(A.entities(rows), A.word_candidates(rows), "candidate_entity_ids"))
+
+
+@query
+def list_sizes(rows):
+    """Entities and ids in lists, by country of the entity ('?' if unknown)."""
+    lists = R.complete_lists(A.entities(rows), A.word_candidates(rows), "candidate_entity_ids").join(A.entities(rows), "entity_id", "left")
+    return lists.groupBy(F.coalesce("country", F.lit("?")).alias("country")).agg(F.count("*").alias("entities"), F.sum(F.when(F.col("candidate_entity_ids") == "", 0).otherwise(F.size(F.split("candidate_entity_ids", ",")))).alias("ids"))
 
 
 @query
@@ -521,23 +600,36 @@ def events_top_value(spark, sf_dir):
 
 
 def _labelled(rows: DataFrame) -> DataFrame:
-    found = _pairs(rows).withColumns(pairs.set_features()).select("record_id", "entity_id", *pairs.set_features())
+    found = _features(rows)
     own = A.links(rows).select("record_id", "entity_id", F.lit(1).alias("own"))
     return found.join(own, ["record_id", "entity_id"], "left").withColumn("label", F.coalesce("own", F.lit(0))).drop("own")
 
 
 @query
 def gbdt_score(rows):
-    data = splits.halves(_labelled(rows)).cache()
-    model = models.train(data.where("half = 'A'"), list(pairs.set_features()), models.Boosting(trees=10, depth=4))
+    """The first stage, trained on the pairs of one half of the entities and applied to the other."""
+    data = written(splits.halves(_labelled(rows), by=splits.number), "labelled")
+    model = models.train(data.where("half = 'A'"), pairs.FEATURES, models.STAGE_ONE)
     return models.score(data.where("half = 'B'"), model).select("record_id", "entity_id", "label", "probability")
 
 
+@tabled
+def linkage_job(spark, sf_dir):
+    """The whole job: both stages trained, decisions rescored, lists delivered and checked, and the
+    holdout report of both stages."""
+    rows = A.records(spark, sf_dir)
+    steps = Steps(spark, f"{shared_folder(spark)}/linkloom-{uuid.uuid4().hex}/job")
+    report = written(job.train(steps, rows, A.links(rows), by=splits.number), "report")
+    tables = {name: spark.read.parquet(steps.path(name)) for name in ("rescored", "candidates")}
+    job.deliver(tables["rescored"], tables["candidates"], A.entities(rows), steps.path("lists"))
+    return report
+
+
 @query
 def isotonic_calibration(rows):
     own = A.links(rows).select("record_id", "entity_id", F.lit(1).alias("own"))
     found = A.word_decisions(rows).join(own, ["record_id", "entity_id"], "left").withColumn("label", F.coalesce("own", F.lit(0)))
-    return models.cross_calibrate(splits.halves(found)).select("record_id", "entity_id", "probability", F.round("calibrated", 6).alias("calibrated"))
+    return models.cross_calibrate(splits.halves(written(found, "decisions"), by=splits.number)).select("record_id", "entity_id", "probability", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query

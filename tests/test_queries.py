@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = """flagship_cosine_topk tokenize_names abbrev_address dba_tail ordinal_strip numeric_keys fold_accents romanised_names composite_keys exact_key_selectivity
 token_df_idf view_union_topk shortlist_context pruned_topk recall_at_k budget_sweep pair_set_features pair_idf_overlap pair_jaro_winkler assign_argmax_margin
 expected_f_prefix macro_fbeta_report threshold_margin_sweep oracle_pricing group_shape_features sibling_agreement entity_complete_lists list_summary
-nearest_rank_percentiles grouped_holdout dev_pool average_precision""".split()
+nearest_rank_percentiles grouped_holdout dev_pool average_precision char_ngram_df hard_negatives separability within_source_agreement text_variants delivery_problems
+list_sizes holdout_report halves_improve sweep_leaderboard""".split()
 
 
 @pytest.fixture(scope="module")
