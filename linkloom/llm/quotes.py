@@ -31,12 +31,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm._stage import discard, staged
+from linkloom.llm._stage import staged
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 _INTRO = re.compile(r"^(?:on|le|am|el)\b.{0,200}(?:wrote|écrit|schrieb|escribió)\s*:?\s*$", re.I)
@@ -101,17 +102,20 @@ def _latest_before(asked: DataFrame, originals: DataFrame, how: Settings) -> Dat
 
 def reply_tree(turns: DataFrame) -> DataFrame:
     """turns(conv, turn, up, before) with thread (the first turn above), depth (replies from there)
-    and branch: the turn at or above this one that does not follow the turn before it."""
-    at = F.when(F.col("up").isNull() | ~F.col("up").eqNullSafe(F.col("before")), F.col("turn"))  # a branch starts here
-    state = staged(turns.select("conv", "turn", "up", F.col("turn").alias("top"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), at.alias("branch")), "tree")
-    while not state.where("up is not null").isEmpty():
-        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("branch").alias("branch2"))
-        step = state.join(above, ["conv", "up"], "left")
-        climbed = F.col("up").isNotNull()
-        step = step.select("conv", "turn", F.when(climbed, F.col("up2")).alias("up"), F.when(climbed, F.col("top2")).otherwise(F.col("top")).alias("top"), (F.col("depth") + F.when(climbed, F.col("depth2")).otherwise(0)).alias("depth"), F.coalesce("branch", "branch2").alias("branch"))
-        last, state = state, staged(step, "tree")
-        discard(last)
-    return state.select("conv", "turn", F.col("top").alias("thread"), "depth", "branch")
+    and branch: the turn at or above this one that does not follow the turn before it.  Turns whose
+    first turn is found are set aside; only the others climb on."""
+    starts = F.when(F.col("up").isNull() | ~F.col("up").eqNullSafe(F.col("before")), F.col("turn"))
+    depth = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+    state = staged(turns.select("conv", "turn", "up", F.coalesce("up", "turn").alias("top"), depth.alias("depth"), starts.alias("branch")), "tree")
+    done, climbing = [state.where("up is null")], state.where("up is not null")
+    while not climbing.isEmpty():
+        all_ = reduce(DataFrame.union, done, climbing)
+        above = all_.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("branch").alias("branch2"))
+        step = climbing.join(above, ["conv", "up"]).select("conv", "turn", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"), F.coalesce("branch", "branch2").alias("branch"))
+        state = staged(step, "tree")
+        done.append(state.where("up is null"))
+        climbing = state.where("up is not null")
+    return reduce(DataFrame.union, done).select("conv", "turn", F.col("top").alias("thread"), "depth", "branch")
 
 
 def link_quotations(messages: DataFrame, how: Settings = Settings()) -> DataFrame:
