@@ -23,6 +23,7 @@ from linkloom.llm import jaccard, language, mixing, pii
 from linkloom.llm._stage import keep_batches_small, small_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BROADCAST_ROWS = 1_000_000  # names of dropped rows, 16 bytes each
 ABOVE_CHANCE = 0.2  # how far a language prediction lies between chance and certainty, at least
 
 
@@ -42,8 +43,10 @@ def _named(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows of dropped(doc_id, text_hash), a written table whose size the planner knows."""
-    return docs.join(staged(_named(dropped, "_"), "dropped"), _same_row("_"), "left_anti").select(*docs.columns)
+    """docs without the rows of dropped(doc_id, text_hash); their names are sent to all tasks where they
+    are few, and else joined by a shuffle."""
+    names = staged(_named(dropped, "_"), "dropped")
+    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, _same_row("_"), "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
