@@ -42,7 +42,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of `staged` that nothing unwritten depends on any more."""
+    """Deletes tables of `staged` that nothing unwritten depends on any more, and lets the driver's
+    collector find the shuffles of what has been written, whose files Spark then removes."""
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
     for table in tables:
         ref, path = _paths.pop(id(table), (None, None))
         if ref is not None and ref() is table:
