@@ -65,7 +65,7 @@ class Join:
     sketch_bits: int = 21
     met_bits: int = 24
     map_bits_most: int = 28
-    slack: int = 25
+    slack: int = 50
     leaf: int = 8  # children of a node of the tree
     block: int = 512  # points of a tree
     hot: int = 50_000  # rows of a shingle in one task
