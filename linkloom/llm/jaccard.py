@@ -15,8 +15,10 @@ components of all links between classes.
 3. Each group is a set of points: shingles hashed into `Join.groups` groups, the group counts as
    coordinates.  A packed R-tree over them bounds the overlap of a query with a node by the
    summed minima of the query and the node's upper corner, and with a point by the summed
-   minima of both.  Pairs that survive are verified on whole shingle sets.  Every pair comes
-   out of a tree; groups of two have one as well.
+   minima of both.  In sets of many shingles a few coordinates say little, so pairs of such
+   sets are bounded once more by count vectors of one to two shingles a coordinate.  Pairs that
+   survive are verified on whole shingle sets.  Every pair comes out of a tree; groups of two
+   have one as well.
 4. Three rounds of queries keep the pairs, and so the shingle sets to move, few: first the hubs
    ask their trees, and each point is paired with its best hub; then each point asks for its
    best partner in every component it has no link to yet; then for all that is left.  Points
@@ -55,6 +57,7 @@ from linkloom.llm._stage import discard, small_batches, staged
 
 _MASK = (1 << 64) - 1
 FULL = 65535  # a coordinate that says no more than `at least this`
+FULL_FINE = 255  # the same in fine points
 
 
 @dataclass(frozen=True)
@@ -272,9 +275,46 @@ def _bit_map(keys: DataFrame, how: Join) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def fine_point(shingles: np.ndarray, how: Join) -> bytes | None:
+    """Counts in `groups` * 2^k groups, k the least for two shingles a group on average at most;
+    None where k is 0, as the point says the same."""
+    groups = how.groups
+    while 2 * groups < len(shingles):
+        groups *= 2
+    if groups == how.groups:
+        return None
+    return np.minimum(np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups), FULL_FINE).astype(np.uint8).tobytes()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes, how: Join) -> bool:
+    """Whether sets of n and m shingles may link by the summed minima of their fine points; the
+    longer one is folded to the groups of the shorter one."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if u.max() == FULL_FINE or v.max() == FULL_FINE:
+        return True
+    groups = min(len(u), len(v))
+    u, v = (w.reshape(-1, groups).sum(0, dtype=np.int64) for w in (u, v))
+    return int(np.minimum(u, v).sum()) >= int(needed(n, m, how.percent))
+
+
+def _finely(how: Join):
+    """Pairs that may link by their fine points; who has none was bounded as well by its tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            ok = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                if x.is_valid and y.is_valid:
+                    ok[i] = may_link(int(n[i]), int(m[i]), x.as_buffer(), y.as_buffer(), how)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    return run
+
+
 def _points(how: Join, cells, whole: bool):
-    """(key, n, point), or (key, shingles) if `whole`, of the sets whose key the bit map lets
-    pass; once per set and task."""
+    """(key, n, point, fine point), or (key, shingles) if `whole`, of the sets whose key the bit
+    map lets pass; once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = cells.value, set()
@@ -285,7 +325,7 @@ def _points(how: Join, cells, whole: bool):
                 keys = set_keys(flat, first)
                 cell = keys[:, 0] >> shift
                 passes = (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1)
-                own, size, out = [], [], []
+                own, size, out, fine = [], [], [], []
                 for i in np.flatnonzero((passes > 0) & (np.diff(first) > 0)).tolist():
                     key = bytes(keys[i])
                     if key not in seen:
@@ -295,8 +335,9 @@ def _points(how: Join, cells, whole: bool):
                         own.append(i)
                         size.append(len(part))
                         out.append(point.tobytes())
-                rest = [pa.array(out, pa.binary())] if whole else [pa.array(size, pa.int32()), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([_binary(keys[own]), *rest], ["key", "shingles"] if whole else ["key", "n", "point"])
+                        fine.append(None if whole else fine_point(part, how))
+                rest = [pa.array(out, pa.binary())] if whole else [pa.array(size, pa.int32()), pa.array(out, pa.binary()), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays([_binary(keys[own]), *rest], ["key", "shingles"] if whole else ["key", "n", "point", "fine"])
 
     return run
 
@@ -480,9 +521,9 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
     discard(met)
     rarity.unpersist()
     cells = spark.sparkContext.broadcast(_bit_map(shared.select("key").distinct(), how))
-    points = text.mapInArrow(_points(how, cells, False), "key binary, n int, point binary").dropDuplicates(["key"])
+    points = text.mapInArrow(_points(how, cells, False), "key binary, n int, point binary, fine binary").dropDuplicates(["key"])
     # Each class is a node with a number, which is fixed once the table is written.
-    points = staged(points.select(F.monotonically_increasing_id().alias("node"), "key", "n", "point"), "points")
+    points = staged(points.select(F.monotonically_increasing_id().alias("node"), "key", "n", "point", "fine"), "points")
     cells.unpersist()
     held = staged(_enough(shared.join(points.select("key", "node"), "key"), how).select("token", "node", "degree"), "held")
     hub = held.groupBy("token").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("m")).where("m > 1")
@@ -491,7 +532,13 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that link, as a table.  Only sets of nodes in pairs are made and moved."""
-        pairs = staged(pairs, "pairs")
+        asked = staged(pairs, "asked")
+        long = points.where("fine is not null")
+        a = long.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("fine").alias("x"))
+        b = long.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y"))
+        pairs = asked.join(a, "a", "left").join(b, "b", "left").select("a", "b", "n", "m", "x", "y")
+        pairs = staged(pairs.mapInArrow(_finely(how), "a long, b long"), "pairs")
+        discard(asked)
         if pairs.isEmpty():
             return pairs
         wanted = staged(points.select("node", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "wanted")
@@ -511,7 +558,7 @@ def _components(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataF
         own = F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("asks")))
         every = F.transform(F.sequence(F.lit(0), how_many - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("asks")))
         rows = members.withColumn("at", F.explode(F.when(asks, F.concat(own, every)).otherwise(own))).select("hub", "at.*", *(c for c in members.columns if c in ("node", "component")))
-        return rows.join(points.drop("key"), "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "node")
+        return rows.join(points.drop("key", "fine"), "node").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "node")
 
     blocks = lambda m: F.ceil(F.col(m) / how.block).cast("int")
     # Round 1: hubs ask.

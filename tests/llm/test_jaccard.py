@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from linkloom.llm.jaccard import CountForest, Join, jaccard_components, needed, op7_count_tree_join
+from linkloom.llm.jaccard import CountForest, Join, fine_point, jaccard_components, may_link, needed, op7_count_tree_join
 
 SF = "/root/testdata/sf0.01"
 
@@ -104,6 +104,27 @@ def test_full_coordinates_bound_nothing():
     assert sum(len(q) for q, _, _ in forest.query(np.zeros(2, int), points, sizes)) == 4
 
 
+def test_fine_points_lose_no_link_and_prune():
+    rng, how, pruned = np.random.default_rng(2), Join(groups=16), 0
+    for _ in range(400):
+        both, left, right = (rng.integers(0, 2**63, rng.integers(0, k)).astype(np.uint64) for k in (900, 160, 160))
+        x, y = np.append(both, left), np.append(both, right)
+        u, v = fine_point(x, how), fine_point(y, how)
+        if u is None or v is None:
+            assert min(len(x), len(y)) <= 2 * how.groups
+            continue
+        links = 100 * len(both) >= 80 * (len(x) + len(y) - len(both))
+        assert may_link(len(x), len(y), u, v, how) or not links
+        pruned += not may_link(len(x), len(y), u, v, how)
+    assert pruned > 50
+
+
+def test_full_fine_coordinates_bound_nothing():
+    how = Join(groups=16)
+    same = np.arange(400, dtype=np.uint64) * np.uint64(2**32)  # all in one group
+    assert may_link(400, 400, fine_point(same, how), fine_point(np.arange(400, dtype=np.uint64), how), how)
+
+
 def test_small_trees_are_trees():
     forest = CountForest(np.array([0, 1, 1]), np.ones((3, 16), np.uint16), np.full(3, 16), Join(groups=16))
     assert len(forest.levels) == 2 and len(forest.levels[1][0]) == 2
