@@ -153,14 +153,12 @@ def shortlist_context(rows):
 def s1_side_topk(rows):
     """Roles swapped: records are searched for each entity, and define document frequencies."""
     queries, index = A.sides(rows)
-    p = A.word_postings(queries)
-    return retrieval.retrieve(A.word_postings(index), p, 3, A.CAP).select("country", F.col("record_id").alias("query_entity"), F.col("entity_id").alias("found_record"), "score", "rank")
+    return retrieval.retrieve_sets(A.word_sets(index), A.word_sets(queries), 3, A.CAP).select("country", F.col("record_id").alias("query_entity"), F.col("entity_id").alias("found_record"), "score", "rank")
 
 
 @query
 def floored_topk(rows):
-    queries, index = A.sides(rows)
-    return retrieval.retrieve(A.word_postings(queries), A.word_postings(index), 5, A.CAP, 0.3).select("record_id", "entity_id", "score", "rank")
+    return A.word_candidates(rows, floor=0.3).select("record_id", "entity_id", "score", "rank")
 
 
 @query
