@@ -7,9 +7,10 @@ this quantile lies at `Settings.threshold`.
 
 Features come from whole texts: shares of character classes and of their transitions,
 word lengths, line shapes, repetition, and hashed word frequencies.  Neither labels nor
-lang, source or id enter them.  The fit uses at most `Settings.train_rows` labelled rows of
-each class, taken by hash of the id, and `Settings.pairs` pairs of each preferred text; all
-documents are scored, row by row inside their partition.
+lang, source or id enter them.  The fit uses every labelled row and `Settings.pairs` pairs of
+each preferred text.  Up to `Settings.gathered` rows are fitted at once; more are dealt into
+blocks by hash of the id, pairs are made inside a block, and weights and cut are those of all
+blocks.  All documents are scored, row by row inside their partition.
 
 Null and empty texts have all-zero features and get a score like any other.  Null labels are
 not learned; several labels of one id count by their mean, and a tie is not learned.
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import _bytes as B
+from linkloom.llm._stage import keep_batches_small, staged
+from linkloom.sources.staging import spread
 
 _CLASSES = 9
 _CLASS = np.full(256, 8, np.uint8)  # 8: bytes of characters outside ASCII
@@ -43,7 +46,8 @@ _CLASS[list(b"#*$%&|<>@!+=^~_{}[]\\/")] = 6
 
 @dataclass(frozen=True)
 class Settings:
-    train_rows: int = 4_000
+    gathered: int = 8_000
+    block: int = 4_096
     pairs: int = 8
     hashed: int = 512
     threshold: float = 0.7
@@ -131,29 +135,187 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, how: Settings, seed: int = 7) -> Ran
     return Ranker(w, cut, how.threshold)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, how: Settings) -> DataFrame:
-    """(text, quality) of at most `train_rows` labelled rows a class, by hash of the id."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5").select("doc_id", (F.col("q") > 0.5).cast("int").alias("quality"))
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    picked = [known.where(F.col("quality") == v).orderBy(*order).limit(how.train_rows) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "quality")
+def pair_slope(x: np.ndarray, y: np.ndarray, w: np.ndarray, how: Settings, seed: list[int]) -> tuple[float, float, np.ndarray]:
+    """(pairs, loss, slope) of a block's pairs, those of `fit_pairs`, without a row for each pair."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return 0.0, 0.0, np.zeros(len(w))
+    x = x.astype(np.float64)
+    raw, first = x @ w, np.repeat(good, how.pairs)
+    second = bad[np.random.default_rng(seed).integers(0, len(bad), len(first))]
+    lead = np.clip(raw[first] - raw[second], -500, 500)
+    q = 1 / (1 + np.exp(lead))
+    return float(len(first)), float(np.logaddexp(0, -lead).sum()), x.T @ (np.bincount(second, q, len(x)) - np.bincount(first, q, len(x)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Ranker | None:
-    rows = training_rows(docs, labels, how)
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): one label for each id."""
+    return labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5").select("doc_id", (F.col("q") > 0.5).cast("int").alias("quality"))
+
+
+def _vectors(docs: DataFrame, how: Settings, keep: str) -> DataFrame:
+    """(keep, x) of every row of docs(keep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in B.slices(batch.column(0)):
-                x = features(texts, how)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)[texts.lo : texts.hi]], ["x", "y"])
+            for texts in B.slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.lo : texts.hi], pa.array([r.tobytes() for r in features(texts, how)], pa.binary())], [keep, "x"])
+
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {dict(docs.dtypes)[keep]}, x binary")
+
 
-    # Bounded: twice train_rows rows of features (repeated ids: the first rows in feature order).
-    found = rows.mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "x", "y").limit(2 * how.train_rows).toArrow()
-    if not found.num_rows:
+def learn(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Ranker | None:
+    """The ranker of all labelled rows: fitted at once where they are few, else by blocks."""
+    known = known_labels(labels)
+    count = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if not count.get(0) or not count.get(1):
         return None
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(found.num_rows, -1)
-    return fit_pairs(x, found.column("y").to_numpy(), how)
+    if sum(count.values()) <= how.gathered:
+        rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+        few = _vectors(rows.select("quality", "text"), how, "quality").orderBy(F.xxhash64("x"), "x", "quality").limit(how.gathered + 1).toArrow()
+        if not few.num_rows:
+            return None
+        if few.num_rows <= how.gathered:  # more, if ids are repeated
+            return fit_pairs(_matrix(b"".join(few.column("x").to_pylist()), how), few.column("quality").to_numpy(), how)
+    return fit_blocks(blocks(docs, known, min(count.values()), sum(count.values()), how), how)
+
+
+def _matrix(x: bytes, how: Settings) -> np.ndarray:
+    return np.frombuffer(x, np.float32).reshape(-1, how.features)
+
+
+def blocks(docs: DataFrame, known: DataFrame, fewer: int, total: int, how: Settings) -> DataFrame:
+    """(block, x, y): every labelled row in one block by the hash of its id, a block in a row.  Blocks have about
+    `Settings.block` rows, and 32 of the rarer class."""
+    keep_batches_small(docs.sparkSession)
+    n = max(1, min(-(-total // how.block), fewer // 32))
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.lit(n)).alias("block")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("id"), "text")
+    found = _vectors(named, how, "id").withColumnRenamed("id", "doc_id").select(block, "doc_id", F.lit(None).cast("int").alias("quality"), "x")
+    marks = known.select(F.col("doc_id").cast("string").alias("doc_id"), "quality").select(block, "doc_id", "quality", F.lit(None).cast("binary").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A label comes before the rows of its id.
+        at, label, held, marks = None, (None, None), [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([bytes(marks)], pa.binary())], ["block", "x", "y"])
+
+        for batch in batches:
+            for own, name, quality, x in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "quality", "x"))):
+                if own != at:
+                    if held:
+                        yield out()
+                    at, held, marks = own, [], []
+                if x is None:
+                    label = (name, quality)
+                elif label[0] == name:
+                    held.append(x)
+                    marks.append(label[1])
+        if held:
+            yield out()
+
+    dealt = spread(found.unionByName(marks), "block").sortWithinPartitions("block", "doc_id", F.col("quality").asc_nulls_last(), "x")
+    return staged(dealt.mapInArrow(run, "block long, x binary, y binary"), "quality")
+
+
+def fit_blocks(table: DataFrame, how: Settings, tight: float = 1e-8) -> Ranker | None:
+    """The least loss over the pairs of all blocks, by L-BFGS on its exact slope, one pass over the blocks a step.
+    One block gives the first weights and the curvature, which only decide the number of steps."""
+
+    def each(work, schema: str) -> pa.Table:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = ((b, _matrix(x, how), np.frombuffer(y, np.uint8)) for batch in batches for b, x, y in zip(*(c.to_pylist() for c in batch.columns)))
+            yield from work(parts)
+
+        return table.mapInArrow(run, schema).toArrow()
+
+    def slope(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def work(parts):
+            n, loss, g = 0.0, 0.0, np.zeros(how.features)
+            for b, x, y in parts:
+                a, c, d = pair_slope(x, y, w, how, [7, b])
+                n, loss, g = n + a, loss + c, g + d
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([g.tobytes()], pa.binary())], ["n", "loss", "g"])
+
+        found = each(work, "n double, loss double, g binary")
+        n = sum(found.column("n").to_pylist())
+        g = sum((np.frombuffer(x) for x in found.column("g").to_pylist()), np.zeros(how.features))
+        return sum(found.column("loss").to_pylist()) / max(n, 1) + how.ridge / 2 * float(w @ w), g / max(n, 1) + how.ridge * w
+
+    some = table.orderBy("block").limit(1).toArrow()
+    if not some.num_rows:
+        return None
+    x, y = _matrix(some.column("x")[0].as_py(), how)[: how.gathered], np.frombuffer(some.column("y")[0].as_py(), np.uint8)[: how.gathered]
+    start = fit_pairs(x, y, how)
+    w = start.weights if start else np.zeros(how.features)
+    curve = np.eye(how.features) * how.ridge
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if start:
+        d = x[np.repeat(good, how.pairs)].astype(np.float64) - x[bad[np.random.default_rng(7).integers(0, len(bad), len(good) * how.pairs)]]
+        q = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+        curve += (d * (q * (1 - q))[:, None]).T @ d / len(d)
+    back = np.linalg.inv(curve)
+    loss, g = slope(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(how.rounds):
+        if np.abs(g).max() <= tight:
+            break
+        p, used = g.copy(), []
+        for s, t in reversed(past):
+            a = (s @ p) / (s @ t)
+            used.append(a)
+            p -= a * t
+        p = back @ p
+        for (s, t), a in zip(past, reversed(used)):
+            p += s * (a - (t @ p) / (s @ t))
+        step = 1.0
+        while True:
+            ahead = w - step * p
+            next_loss, next_g = slope(ahead)
+            if next_loss <= loss - 1e-4 * step * (p @ g) + 1e-13 or step < 1e-6:
+                break
+            step /= 2
+        if (ahead - w) @ (next_g - g) > 0:
+            past = [*past, (ahead - w, next_g - g)][-10:]
+        w, loss, g = ahead, next_loss, next_g
+
+    # The quantile of the share labelled 0, in the middle of its gap: a histogram, then the values of its bins.
+    def ends(parts):
+        for _, x, y in parts:
+            raw = x @ w
+            yield pa.RecordBatch.from_arrays([pa.array([raw.min()]), pa.array([raw.max()]), pa.array([len(y)]), pa.array([int((y == 0).sum())])], ["lo", "hi", "n", "bad"])
+
+    found = each(ends, "lo double, hi double, n long, bad long").to_pydict()
+    lo, hi, n, k = min(found["lo"]), max(found["hi"]), sum(found["n"]), sum(found["bad"])
+    if not 0 < k < n:
+        return None
+    bins = 4096
+
+    def place(raw: np.ndarray) -> np.ndarray:
+        return np.clip((raw - lo) / max(hi - lo, 1e-300) * bins, 0, bins - 1).astype(np.int64)
+
+    def counts(parts):
+        total = np.zeros(bins, np.int64)
+        for _, x, _ in parts:
+            total += np.bincount(place(x @ w), minlength=bins)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["c"])
+
+    below = np.cumsum(sum(np.frombuffer(c, np.int64) for c in each(counts, "c binary").column("c").to_pylist()))
+    a, b = (int(np.searchsorted(below, r, "right")) for r in (k - 1, k))
+
+    def inside(parts):
+        for _, x, _ in parts:
+            raw = x @ w
+            at = place(raw)
+            value, times = np.unique(raw[(at >= a) & (at <= b)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], ["v", "c"])
+
+    held = each(inside, "v double, c long")
+    order = np.argsort(held.column("v").to_numpy())
+    value, upto = held.column("v").to_numpy()[order], np.cumsum(held.column("c").to_numpy()[order]) + (below[a - 1] if a else 0)
+    first, second = (value[np.searchsorted(upto, r, "right")] for r in (k - 1, k))
+    return Ranker(w, float((first + second) / 2), how.threshold)
 
 
 def score(docs: DataFrame, ranker: Ranker | None, how: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -179,5 +341,5 @@ def held_out(id_col: str = "doc_id"):
 def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ranker = learn(docs, labels.where(~held_out()))
+    ranker = learn(docs.where(~held_out()), labels.where(~held_out()))
     return score(docs.select("doc_id", "text"), ranker).select("doc_id", held_out().alias("held_out"), "score", "predicted")
