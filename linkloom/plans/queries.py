@@ -296,7 +296,7 @@ def expected_f_prefix(rows):
 
 @query
 def stage_scope(rows):
-    first = A.word_decisions(rows)
+    first = written(A.word_decisions(rows), "decisions")
     second = first.withColumn("probability", F.round(F.col("probability") * 0.9, 6))
     return decide.staged_scope(first, second, ["en", "fr"], 0.5, 0.45).select("country", "record_id", "entity_id")
 
@@ -342,7 +342,7 @@ def holdout_report(rows):
 @query
 def halves_improve(rows):
     """Whether a lower threshold is better than a higher one in both halves."""
-    found, halves = A.word_decisions(rows), splits.halves(A.entities(rows), by=splits.number)
+    found, halves = written(A.word_decisions(rows), "decisions"), splits.halves(A.entities(rows), by=splits.number)
 
     def by_half(threshold: float) -> DataFrame:
         scored = metrics.entity_scores(metrics.entity_counts(decide.by_threshold(found, threshold), A.links(rows), A.entities(rows)))
@@ -452,7 +452,8 @@ def candidate_lists(rows):
 
 @query
 def matches_subset_candidates(rows):
-    return R.outside(decide.by_threshold(A.word_decisions(rows), THRESHOLD), A.word_candidates(rows).select("entity_id", "record_id")).agg(F.count("*").alias("outside"))
+    found = written(A.word_candidates(rows), "candidates")
+    return R.outside(decide.by_threshold(A.decided(found), THRESHOLD), found.select("entity_id", "record_id")).agg(F.count("*").alias("outside"))
 
 
 @query
@@ -515,8 +516,9 @@ def text_variants(rows):
 def delivery_problems(rows):
     """Checks of the lists that would be delivered; without the entities of one country, which shows
     them as missing."""
-    matches = R.complete_lists(A.entities(rows).where("country <> 'es'"), decide.by_threshold(A.word_decisions(rows), THRESHOLD))
-    return R.problems(A.entities(rows), matches, R.complete_lists(A.entities(rows), A.word_candidates(rows), "candidate_entity_ids"))
+    found = written(A.word_candidates(rows), "candidates")
+    matches = R.complete_lists(A.entities(rows).where("country <> 'es'"), decide.by_threshold(A.decided(found), THRESHOLD))
+    return R.problems(A.entities(rows), matches, R.complete_lists(A.entities(rows), found, "candidate_entity_ids"))
 
 
 @query

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import retrieval
 from linkloom.plans import adapter as A
+from linkloom.plans.queries import QUERIES
 
 POSTING = "country string, view string, id string, token string"
 
@@ -49,15 +50,14 @@ def test_nothing_known(spark):
 
 def moved(spark, df):
     """Rows written to shuffles by running `df`."""
-    store = spark.sparkContext._jsc.sc().statusStore()
-    none = spark.sparkContext._jvm.java.util.ArrayList()
-    before = {(s.stageId(), s.attemptId()) for s in stages(store, none)}
+    before = {(s.stageId(), s.attemptId()) for s in all_stages(spark)}
     df.write.format("noop").mode("overwrite").save()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    return sum(s.shuffleWriteRecords() for s in stages(store, none) if (s.stageId(), s.attemptId()) not in before)
+    return sum(s.shuffleWriteRecords() for s in all_stages(spark) if (s.stageId(), s.attemptId()) not in before)
 
 
-def stages(store, none):
+def all_stages(spark):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
     found = store.stageList(none, False, False, getattr(store, "stageList$default$4")(), none)
     return [found.apply(i) for i in range(found.size())]
 
@@ -70,3 +70,23 @@ def test_pairs_are_not_moved(spark):
     assert moved(spark, A.word_candidates(A.records(spark, path), cap=1.0)) < 12_000
     plain = sides(spark)
     assert moved(spark, retrieval.retrieve(*plain, 5, 1.0)) < 2 * (plain[0].count() + plain[1].count())
+
+
+def test_links_do_not_move_texts(spark):
+    """Whole texts decide, but only their digests are dealt out."""
+    rows = spark.range(60).selectExpr("concat('S', id % 3 + 1, '-', id) as id", "int(id % 3 + 1) as source", "'en' as country", "concat(if(id % 2 = 0, 'Text ', 'tEXT '), id div 6, ' ', array_join(transform(sequence(1, 80), i -> sha2(concat(id div 6, '-', i), 256)), ' ')) as text")
+    found = A.links(rows)
+    assert found.count() == 40 and found.join(rows.withColumnRenamed("id", "record_id"), "record_id").where("element_at(split(lower(text), ' '), 2) <> string(int(substring(entity_id, 4)) div 6)").count() == 0
+    before = {(x.stageId(), x.attemptId()) for x in all_stages(spark)}
+    found.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(x.shuffleWriteBytes() for x in all_stages(spark) if (x.stageId(), x.attemptId()) not in before) < 20_000
+
+
+def test_decisions_and_lists_read_the_same_candidates(spark, monkeypatch):
+    """The search, by far the longest step, runs once."""
+    calls, search = [], A.retrieval.retrieve_sets
+    monkeypatch.setattr(A.retrieval, "retrieve_sets", lambda *a, **k: calls.append(1) or search(*a, **k))
+    QUERIES["delivery_problems"](spark, "/root/testdata/sf0.001")
+    QUERIES["matches_subset_candidates"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2
