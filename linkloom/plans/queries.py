@@ -19,6 +19,7 @@ from linkloom.sources.staging import Steps, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 THRESHOLD = 0.5
+BROADCAST_IDS = 1_000_000  # changes the plan only, not rows
 
 
 def query(f: Callable) -> Callable:
@@ -400,7 +401,9 @@ def _kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decisions of some weight, and the parsed texts of the records and entities that they name."""
     kept = written(decide.by_threshold(A.word_decisions(rows), 0.3), "decisions")
     named = kept.select(F.explode(F.array("record_id", "entity_id")).alias("id")).distinct()
-    return kept, written(V.parsed(rows.join(named, "id", "left_semi")), "parsed")
+    few = named.count() <= BROADCAST_IDS  # else whole texts are moved to their ids
+    texts = rows.select("id", "source", "country", "name", "address").join(F.broadcast(named) if few else named, "id", "left_semi")
+    return kept, written(V.parsed(texts).select("id", "source", "name_joined", "addr_joined"), "parsed")
 
 
 @query
