@@ -78,9 +78,10 @@ def _f(p: str, t: str, h: str) -> str:
     return f"CASE WHEN {p} = 0 AND {t} = 0 THEN 1.0 WHEN {p} = 0 OR {t} = 0 OR {h} = 0 THEN 0.0 ELSE 1.25 * ({h} / {p}) * ({h} / {t}) / (0.25 * ({h} / {p}) + {h} / {t}) END"
 
 
-def _vocab(postings: str, cap: float) -> str:
+def _vocab(postings: str, cap: float | None) -> str:
+    kept = "" if cap is None else f" WHERE df <= greatest(1.0, {cap} * n)"
     return f"""SELECT country, view, token, df, ln(1 + n / df) AS idf FROM (SELECT country, view, token, count(*) AS df FROM {postings} GROUP BY ALL)
-  JOIN (SELECT country, view, count(DISTINCT id) AS n FROM {postings} GROUP BY ALL) USING (country, view) WHERE df <= greatest(1.0, {cap} * n)"""
+  JOIN (SELECT country, view, count(DISTINCT id) AS n FROM {postings} GROUP BY ALL) USING (country, view){kept}"""
 
 
 def _weights(postings: str, vocab: str) -> str:
@@ -164,7 +165,7 @@ _SIGNALS = {
 _REPORT = "SELECT round(avg(f), 6) AS macro_f, round(avg(f) FILTER (\"true\" = 0), 6) AS macro_f_singletons, round(avg(f) FILTER (\"true\" > 0), 6) AS macro_f_matched, count(*) FILTER (\"true\" = 0) AS n_singletons, count(*) FILTER (\"true\" > 0) AS n_matched, coalesce(round(sum(hits) / nullif(sum(predicted), 0), 6), 0.0) AS micro_precision, coalesce(round(sum(hits) / nullif(sum(\"true\"), 0), 6), 0.0) AS micro_recall FROM (SELECT *, CAST(" + _f("predicted", '"true"', "hits") + " AS DOUBLE) AS f FROM {})"
 
 _QUERIES = {
-    "flagship_cosine_topk": "SELECT country, record_id, entity_id, score, rank FROM cands",
+    "flagship_cosine_topk": f"WITH v1 AS ({_vocab('posts_e', None)}), q1 AS ({_weights('posts_q', 'v1')}), e1 AS ({_weights('posts_e', 'v1')}), s1 AS ({_scores('q1', 'e1')}) SELECT country, record_id, entity_id, score, rank FROM ({_top('s1', 5)})",
     "tokenize_names": f"SELECT id, array_to_string(t, ' ') AS tokens, array_to_string({_core('t')}, ' ') AS core FROM (SELECT id, {_name_tokens('lower(n)')} AS t FROM (SELECT id, {_clean_name('text')} AS n FROM recs))",
     "canon_numbers": f"SELECT c_custkey, {_canon('lower(c_name)')} AS canon FROM customer",
     "abbrev_address": f"SELECT id, array_to_string({_addr_tokens('lower(a)')}, ' ') AS tokens FROM (SELECT id, {_junk('text')} AS a FROM recs)",

@@ -36,7 +36,7 @@ def tabled(f: Callable) -> Callable:
 
 @query
 def flagship_cosine_topk(rows):
-    return A.word_candidates(rows).select("country", "record_id", "entity_id", "score", "rank")
+    return A.word_candidates(rows, cap=None).select("country", "record_id", "entity_id", "score", "rank")
 
 
 # Text ---------------------------------------------------------------------------------------

@@ -135,3 +135,22 @@ def test_rows_of_one_record(spark):
     q, e = retrieval.sets(queries), retrieval.sets(index)
     halves = [q.withColumn("tokens", F.array_join(F.filter(F.split("tokens", "\0"), lambda t, i: i % 2 == n), "\0")) for n in (0, 1)]
     assert rows(retrieval.retrieve_sets(halves[0].union(halves[1]), e, 3, 1.0, 0.0, 300, 40)) == rows(retrieval.retrieve_sets(q, e, 3, 1.0, 0.0))
+
+
+def test_common_words_are_searched_by(spark):
+    """Words of most entities, held as bits, give the sums of the plain join, ties and repeats included; some are in more rows than there are entities."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(90)]
+
+    def some(prefix, n):
+        made = [(i, rng.choices(words, [1 / (j + 1) for j in range(90)], k=rng.randrange(1, 40))) for i in range(n)]
+        made += [(n + i, made[i % 3][1]) for i in range(n // 10)]  # copies, which tie
+        return spark.createDataFrame([("en", "v", f"{prefix}{i}", t) for i, tokens in made for t in [*tokens, "w0"]], POSTING)
+
+    queries, index = some("r", 120), some("e", 2600)
+    vocab = retrieval.vocabulary(index, 1e9)
+    assert vocab.where("df > 2860").count()
+    want = rows(retrieval.top_k(retrieval.scores(retrieval.weighted(queries, vocab), retrieval.weighted(index, vocab)), 5))
+    q, e = retrieval.sets(queries), retrieval.sets(index)
+    for x, y in ((1 << 16, 1 << 15), (1500, 50)):
+        assert rows(retrieval.retrieve_sets(q, e, 5, None, 0.0, x, y)) == want and len(want) == 5 * 132

@@ -74,3 +74,18 @@ def test_hard_negatives_keep_words_of_many_entities(spark, tmp_path):
     spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.record_id, r.entity_id, r.shared) for r in QUERIES["hard_negatives"](spark, str(tmp_path)).orderBy("shared", ascending=False).collect()]
     assert got == [("S2-1", "S1-21", 2), ("S2-1", "S1-0", 1)]
+
+
+def test_flagship_searches_by_words_of_all_entities(spark, tmp_path):
+    """No word is too common to find a partner by, and common words count in scores and norms."""
+    texts = {3 * i: f"same words everywhere {'half ' * (i % 2)}own{i}" for i in range(80)} | {1: "same", 4: "half words own7", 2: "Everywhere, HALF, other"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {name(i): set(re.findall(r"\w+", t.lower())) for i, t in texts.items()}
+    index = {k: w for k, w in words.items() if k.startswith("S1")}
+    idf = {x: math.log(1 + len(index) / n) for x, n in Counter(x for w in index.values() for x in w).items()}
+    size = lambda w: math.sqrt(sum(idf.get(x, 0) ** 2 for x in w))
+    want = set()
+    for q in (name(1), name(2), name(4)):
+        found = sorted((-round(sum(idf[x] ** 2 for x in w & words[q]) / size(w) / size(words[q]), 6), e) for e, w in index.items() if w & words[q])
+        want |= {(q, e, -s, n) for n, (s, e) in enumerate(found[:5])}
+    assert {(r.record_id, r.entity_id, r.score, r.rank) for r in QUERIES["flagship_cosine_topk"](spark, str(tmp_path)).collect()} == want and len(want) == 15
